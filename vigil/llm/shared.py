@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Words are maximal runs without space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,3 +71,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def buckets(spark: SparkSession) -> int:
     """How many hash buckets packed exchanges use: as many as the session's shuffles have partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Name of the row number that staged() adds; a column of that name in the input is refused.
+ROW = "__row"
+
+
+def with_row(df: DataFrame) -> DataFrame:
+    """df with a number that differs for every row. It holds for one evaluation, so write it before using it twice."""
+    if ROW in df.columns:
+        raise ValueError(f"the input has a column {ROW}")
+    return df.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def staged(df: DataFrame, what: str) -> DataFrame:
+    """The whole rows with their row numbers, written once, so that later passes agree on the numbers."""
+    return written(with_row(df), what)
