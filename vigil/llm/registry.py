@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from vigil.llm.token_counts import op1_token_counts
+from vigil.llm import exact_dedup, mixing, token_counts
 
 
 def registry() -> dict:
     return {
-        "op1_token_counts": (op1_token_counts, None),
+        "op1_token_counts": (token_counts.op1_token_counts, None),
+        "op8_exact_dedup": (exact_dedup.op8_exact_dedup, exact_dedup.SQL),
+        "op9_mix_sources": (mixing.op9_mix_sources, mixing.SQL),
     }
