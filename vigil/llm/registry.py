@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vigil.llm import byte_bpe, exact_dedup, mixing, token_counts
+from vigil.llm import byte_bpe, exact_dedup, mixing, quality, token_counts
 
 
 def registry() -> dict:
     return {
         "op1_token_counts": (token_counts.op1_token_counts, None),
         "op5_byte_bpe": (byte_bpe.op5_byte_bpe, None),
+        "op6_quality_rules": (quality.op6_quality_rules, quality.SQL),
         "op8_exact_dedup": (exact_dedup.op8_exact_dedup, exact_dedup.SQL),
         "op9_mix_sources": (mixing.op9_mix_sources, mixing.SQL),
     }
