@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import byte_bpe, exact_dedup, mixing, quality, token_counts
+from vigil.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality, token_counts
 
 
 def registry() -> dict:
@@ -12,4 +12,5 @@ def registry() -> dict:
         "op6_quality_rules": (quality.op6_quality_rules, quality.SQL),
         "op8_exact_dedup": (exact_dedup.op8_exact_dedup, exact_dedup.SQL),
         "op9_mix_sources": (mixing.op9_mix_sources, mixing.SQL),
+        "op10_near_dedup": (near_dedup.op10_near_dedup, None),
     }
