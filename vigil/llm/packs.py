@@ -89,6 +89,12 @@ def split_bytes(lengths: np.ndarray, data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions grouped by bucket in their order, and where each bucket begins and ends."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+
+
 def ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
@@ -103,8 +109,9 @@ def unipc(data: bytes) -> pa.Table:
 Packs = dict[int, bytes]
 
 
-def scatter(df: DataFrame, text: str, emit: Callable[[pa.Table, list], tuple[bytes, Packs]]) -> DataFrame:
+def scatter(df: DataFrame, text: str, emit: Callable[[pa.Table, list], tuple[bytes, Packs]], block_bytes: int | None = None) -> DataFrame:
     """Blocks of df as rows of SCHEMA. emit(rows, texts) gives a block's payload and its packs by bucket."""
+    most = block_bytes or BLOCK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -126,7 +133,7 @@ def scatter(df: DataFrame, text: str, emit: Callable[[pa.Table, list], tuple[byt
             at = 0
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).cumsum()
             while at < batch.num_rows:
-                room = BLOCK_BYTES - weight + (int(sizes[at - 1]) if at else 0)
+                room = most - weight + (int(sizes[at - 1]) if at else 0)
                 end = min(max(int(np.searchsorted(sizes, room, "right")), at + (not held)), batch.num_rows, at + BLOCK_ROWS - rows)
                 if end > at:
                     held.append(batch.slice(at, end - at))
@@ -152,6 +159,18 @@ def answer(x: DataFrame, reduce: Callable[[list[int], list[bytes]], list[bytes]]
     return x.groupBy("key").applyInPandas(run, SCHEMA)
 
 
+def rescatter(x: DataFrame, answers: DataFrame, emit: Callable[[bytes, dict[int, bytes]], tuple[bytes, Packs]]) -> DataFrame:
+    """A further round: emit(payload, answers by bucket) gives every block a new payload and new packs."""
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if key[0] >= 0:
+            return pd.DataFrame({"key": pd.Series(dtype="int64"), "src": pd.Series(dtype="int64"), "data": pd.Series(dtype="object")})
+        payload, packs = emit(left["data"].iloc[0], dict(zip(right["src"].tolist(), right["data"].tolist())))
+        return pd.DataFrame({"key": [key[0], *packs], "src": key[0], "data": [payload, *packs.values()]})
+
+    return x.groupBy("key").cogroup(answers.groupBy("key")).applyInPandas(run, SCHEMA)
+
+
 def finish(x: DataFrame, answers: DataFrame, end: Callable[[bytes, dict[int, bytes]], pd.DataFrame], schema: str) -> DataFrame:
     """end(payload, answers by bucket) for every block."""
 
