@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vigil.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality, substring_dedup, token_counts
+from vigil.llm import byte_bpe, exact_dedup, lm_score, mixing, near_dedup, quality, substring_dedup, token_counts
 
 
 def registry() -> dict:
     return {
         "op1_token_counts": (token_counts.op1_token_counts, None),
         "op2_substring_dedup": (substring_dedup.op2_substring_dedup, substring_dedup.SQL),
+        "op3_lm_score": (lm_score.op3_lm_score, None),
         "op5_byte_bpe": (byte_bpe.op5_byte_bpe, None),
         "op6_quality_rules": (quality.op6_quality_rules, quality.SQL),
         "op8_exact_dedup": (exact_dedup.op8_exact_dedup, exact_dedup.SQL),
