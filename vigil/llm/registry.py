@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import byte_bpe, exact_dedup, lm_score, mixing, near_dedup, quality, substring_dedup, token_counts
+from vigil.llm import byte_bpe, exact_dedup, lm_score, mixing, near_dedup, quality, substring_dedup, token_counts, toxicity
 
 
 def registry() -> dict:
@@ -12,6 +12,7 @@ def registry() -> dict:
         "op3_lm_score": (lm_score.op3_lm_score, None),
         "op5_byte_bpe": (byte_bpe.op5_byte_bpe, None),
         "op6_quality_rules": (quality.op6_quality_rules, quality.SQL),
+        "op7_toxicity": (toxicity.op7_toxicity, None),
         "op8_exact_dedup": (exact_dedup.op8_exact_dedup, exact_dedup.SQL),
         "op9_mix_sources": (mixing.op9_mix_sources, mixing.SQL),
         "op10_near_dedup": (near_dedup.op10_near_dedup, None),
