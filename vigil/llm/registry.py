@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import byte_bpe, exact_dedup, lm_score, mixing, near_dedup, quality, substring_dedup, token_counts, toxicity
+from vigil.llm import byte_bpe, exact_dedup, lm_score, mixing, near_dedup, quality, site_style, substring_dedup, token_counts, toxicity
 
 
 def registry() -> dict:
@@ -10,6 +10,7 @@ def registry() -> dict:
         "op1_token_counts": (token_counts.op1_token_counts, None),
         "op2_substring_dedup": (substring_dedup.op2_substring_dedup, substring_dedup.SQL),
         "op3_lm_score": (lm_score.op3_lm_score, None),
+        "op4_html_text": (site_style.op4_html_text, None),
         "op5_byte_bpe": (byte_bpe.op5_byte_bpe, None),
         "op6_quality_rules": (quality.op6_quality_rules, quality.SQL),
         "op7_toxicity": (toxicity.op7_toxicity, None),
