@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "key long, src long, data binary"
 #: Bytes of text after which a block is closed, and rows; a longer text is a block of its own.
-BLOCK_BYTES, BLOCK_ROWS = 24_000_000, 65_536
+BLOCK_BYTES, BLOCK_ROWS = 8_000_000, 65_536
 
 
 def squeeze(data: bytes) -> bytes:
