@@ -16,10 +16,10 @@ null keys are hashed as empty texts; columns stay, and one with an output's name
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 from math import log
-from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -77,17 +77,17 @@ def fit(texts: list[str | None], labels: list[int], share: float) -> Model:
         p = min(max(share, 1e-9), 1 - 1e-9)
         return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
     rng, number = np.random.default_rng(SEED), {}
-    ids, counts, sizes = [], [], []
+    ids, counts, sizes, flat, n_grams = array("q"), array("d"), array("q"), array("q"), array("q")
     for t in texts:
         c = shares(t)
-        ids += [number.setdefault(w, len(number)) for w in c]
-        counts += c.values()
+        ids.extend(number.setdefault(w, len(number)) for w in c)
+        counts.extend(c.values())
         sizes.append(len(c))
-    ids, counts, sizes = np.array(ids, np.int64), np.array(counts), np.array(sizes, np.int64)
-    begin = np.cumsum(sizes) - sizes
-    lists = [grams(w) for w in number]
-    n_grams = np.array([len(x) for x in lists], np.int64)
-    flat, g_begin = np.array([g for x in lists for g in x], np.int64), np.cumsum(n_grams) - n_grams
+    for w in number:
+        flat.extend(g := grams(w))
+        n_grams.append(len(g))
+    ids, counts, sizes, flat, n_grams = map(np.array, (ids, counts, sizes, flat, n_grams))
+    begin, g_begin = np.cumsum(sizes) - sizes, np.cumsum(n_grams) - n_grams
     embedding, softmax, bias = rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     adam = _Adam(embedding.shape, softmax.shape, bias.shape)
     for _ in range(EPOCHS):
@@ -128,8 +128,13 @@ def score_texts(texts, model: Model, known: _WordScores | None = None) -> np.nda
     known = _WordScores(model) if known is None else known
     out = np.empty(len(texts))
     for i, t in enumerate(texts):
-        found = shares(t)
-        out[i] = sum(map(mul, map(known.__getitem__, found), found.values()))
+        found = Counter(t.lower().split()) if t else {}
+        total, weight = sum(map(known.__getitem__, found)), len(found)
+        for w, n in found.items():
+            if n > 1:
+                x = log(n)
+                total, weight = total + x * known[w], weight + x
+        out[i] = total / weight if weight else 0.0
         if len(known) > MEMO_WORDS:
             known.clear()
     return 1 / (1 + np.exp(-(out + model.bias)))
