@@ -33,24 +33,39 @@ BOILERPLATE = (
 )
 
 
+#: Phrases of which at least one is in any text that BOILERPLATE matches, lower-cased; a quick look ahead of the pattern.
+_HINTS = ("all rights", "cookie", "privacy policy", "terms of", "licensed", "released under", "copyright", "©", "enable java", "lorem ip", "subscribe", "click here", "read more")
+
+
+def _any(text: Column, parts: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for p in parts:
+        found = found | F.contains(text, F.lit(p))
+    return found
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATORS, -1), lambda w: w != "")
 
 
 def _line_fails(line: Column) -> Column:
+    """The rules on a line. __marks, __bars and __phrases say whether the whole text can have what a rule looks for."""
     words = F.regexp_count(line, F.lit(WORD))
-    marked = F.regexp_count(line, F.lit(MARKED)) * 10 >= words * 3
-    shouted = (words >= 3) & line.rlike(r"\p{Lu}") & ~line.rlike(r"\p{Ll}")
+    marked = F.col("__marks") & (F.regexp_count(line, F.lit(MARKED)) * 10 >= words * 3)
+    shouted = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (words >= 3)
     separators = F.regexp_count(line, F.lit(SEPARATOR))
-    navigation = ((separators >= 2) & (separators * 4 >= words)) | line.rlike(MENU)
-    return marked | shouted | navigation | line.rlike(BOILERPLATE)
+    navigation = (F.col("__bars") & (separators >= 2) & (separators * 4 >= words)) | line.rlike(MENU)
+    return marked | shouted | navigation | (F.col("__phrases") & line.rlike(BOILERPLATE))
+
+
+def _window_hash(hashes: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)])
 
 
-def _repeated(words: Column) -> Column:
-    """Words in windows that occur at least twice; words: an attribute, so that it isn't computed again."""
-    window = lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]).alias("h"), i.alias("p"))
-    last = F.size(words) - WINDOW
-    return F.when(last >= 1, F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)))
+def _starts(hashes: Column) -> Column:
+    """0 to the last window's start; null if there is one window or none."""
+    last = F.size(hashes) - WINDOW
+    return F.when(last >= 1, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
 
 
 def _covered(windows: Column) -> Column:
@@ -69,25 +84,30 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
     cleaned is the text without its failing lines; n_lost_words counts the words in those.
     """
     c = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = df.withColumns({"__words": _words(c), "__lines": F.split(c, "\n", -1), "__text": c})
-    df = df.withColumns({"__windows": _repeated(F.col("__words")), "__real": F.filter("__lines", lambda x: x.rlike(WORD)), "__bad": F.filter("__lines", lambda x: x.rlike(WORD) & _line_fails(x))})
-    letters = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(WORD)))
+    df = df.withColumns({"__hashes": F.transform(_words(c), lambda w: F.xxhash64(w)), "__lines": F.filter(F.split(c, "\n", -1), lambda x: x.rlike(WORD)), "__text": c, "__low": F.lower(c)})
+    marks, bars = tuple([*SYMBOLS, "!!"]), tuple(f" {x} " for x in "|>/»›•·")
+    df = df.withColumns({"__windows": F.transform(_starts(F.col("__hashes")), lambda i: _window_hash(F.col("__hashes"), i)), "__phrases": _any(F.col("__low"), _HINTS), "__marks": _any(F.col("__text"), marks), "__bars": _any(F.col("__text"), bars)})
+    # Only texts with a repeated window have the pairs sorted; for others the set of hashes says so in linear time.
+    pairs = F.transform(F.sequence(F.lit(0), F.size("__windows") - 1), lambda i: F.struct(F.get("__windows", i).alias("h"), i.alias("p")))
+    repeated = F.size(F.array_distinct("__windows")) < F.size("__windows")
+    df = df.withColumns({"__sorted": F.when(repeated, F.array_sort(pairs)), "__bad": F.filter("__lines", _line_fails)})
+    count = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(WORD)))
     df = df.withColumns(
         {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.regexp_replace("__text", SEPARATORS, "")).cast("long"),
-            "n_symbols": (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("__real") - F.size(F.array_distinct("__real"))).cast("long"),
-            "n_repeat_words": _covered(F.col("__windows")),
-            "n_lost_words": letters(F.col("__bad")).cast("long"),
+            "n_words": F.size("__hashes").cast("long"),
+            "word_chars": (F.length("__text") - F.regexp_count("__text", F.lit(SEPARATORS.removesuffix("+")))).cast("long"),
+            "n_symbols": F.when(F.col("__marks"), F.regexp_count("__text", F.lit(f"[{SYMBOLS}]"))).otherwise(F.lit(0)).cast("long"),
+            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+            "n_repeat_words": _covered(F.col("__sorted")),
+            "n_lost_words": count(F.col("__bad")).cast("long"),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * round(100 * MAX_REPEATED))
     df = df.withColumn("base_failed", failed)
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") * 10 <= F.col("n_words") * round(10 * MAX_LOST)))
-    bad = F.col("__bad")
-    df = df.withColumn("cleaned", F.when(F.size(bad) == 0, F.col("__text")).otherwise(F.array_join(F.filter("__lines", lambda x: ~(x.rlike(WORD) & _line_fails(x))), "\n")))
-    return df.drop("__words", "__lines", "__text", "__windows", "__real", "__bad")
+    kept_lines = F.filter(F.split("__text", "\n", -1), lambda x: ~(x.rlike(WORD) & _line_fails(x)))
+    df = df.withColumn("cleaned", F.when(F.size("__bad") == 0, F.col("__text")).otherwise(F.array_join(kept_lines, "\n")))
+    return df.drop("__hashes", "__lines", "__text", "__low", "__phrases", "__windows", "__marks", "__bars", "__sorted", "__bad")
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
@@ -95,7 +115,10 @@ def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     if "__doc" in df.columns:
         raise ValueError("the input has a column __doc")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__doc"), F.col(text).alias("text"))
-    return judge(rows).filter("kept").select("__doc.*")
+    # A filter on a projection is otherwise moved below it and into the functions on arrays, which are then
+    # computed for every element; it doesn't pass a column that differs from run to run.
+    judged = judge(rows).select("__doc", "kept", F.monotonically_increasing_id().alias("__stop"))
+    return judged.filter(F.col("kept") & (F.col("__stop") >= 0)).select("__doc.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
