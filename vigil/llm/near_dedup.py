@@ -9,8 +9,8 @@ agree in a register with probability equal to their weighted Jaccard similarity.
 
 Registers are banded. In each band bucket all texts are compared with the one of lowest random rank; links are
 verified on the whole bags. Buckets that still hold unconnected texts afterwards have all pairs across components
-compared, after exact bounds on size, so no link that shares a bucket is lost, while a group of n copies
-costs about n comparisons and not n squared. With 32 bands of 4 registers a pair of similarity 0.8 shares a bucket
+compared, after exact bounds on size, so no link that shares a bucket is lost. A group of n copies that link to its
+leaders costs about n comparisons; members of a bucket that stay unlinked cost the square of their number. With 32 bands of 4 registers a pair of similarity 0.8 shares a bucket
 with probability 1 - 5e-8. Equal texts are one node from the start. Components of the links are the classes.
 
 Defined cases: equal texts share a class, null counting as empty; texts of one to four words have a single
