@@ -39,6 +39,17 @@ def test_tree_removes_what_a_site_repeats(spark):
     assert got[99] == "same on every page lone all alike" and got[98] == got[97] == ""
 
 
+def test_repeated_loose_text_in_a_wrapper_leaves_what_is_below(spark):
+    forms = {
+        "a": ("<body>You are here: <div><p>{}</p></div></body>", "story {}"),
+        "b": ("<body><div class=content>Welcome<article><p>{}</p></article></div></body>", "story {}"),
+        "c": ("<body><div>Home <a>About</a></div><p>It costs <b>{}</b> a piece</p></body>", "It costs story {} a piece"),
+    }
+    rows = [(f"http://{h}.example/{i}", page.format(f"story {i}"), want.format(i)) for h, (page, want) in forms.items() for i in range(5)]
+    df = spark.createDataFrame(rows, "url string, html string, want string")
+    assert [(r.url, r.text) for r in op.extract(df).collect() if r.text != r.want] == []
+
+
 def test_importance_by_hand(spark):
     pages = spark.createDataFrame([("a", f"<p>{t}</p>") for t in ("x", "x", "y", "z")], "__host string, __html string")
     leaf = [r for r in op.importance(pages).collect() if r.presentation == 0.0 and r.content is not None]

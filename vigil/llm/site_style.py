@@ -6,8 +6,9 @@ its presentations (the sequences of child styles) spread over those pages, and h
 block) spreads. Presentation importance is the entropy of the presentations to the base of the number of pages;
 content importance is one minus the mean entropy of the features: text that stands on all pages alike has entropy 1
 and importance 0, text of a single page entropy 0 and importance 1. A node's importance is the larger of
-the two for inner nodes and the content's for leaves. Branches of low importance are removed from each page, along with
-those whose tag or class says that they are menus, notices, adverts, forms or the like, which also holds for hosts
+the two for inner nodes and the content's for leaves. The text that stands directly in a node of low importance is removed
+from each page; what stands in nodes below it is judged by those nodes, so a branch goes only if all of its nodes are low.
+Inline elements without class or id belong to the text around them. Also removed are branches whose tag or class says that they are menus, notices, adverts, forms or the like, which also holds for hosts
 with a single page, where there is nothing to compare. If a page has an article or main element, its text is what
 is inside, and there the tree removes nothing, so copies of an article don't remove each other; elsewhere it
 removes nodes that stand on at least MIN_PAGES pages.
@@ -60,11 +61,13 @@ _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "noise", "parent", "path", "style", "tag")
+    __slots__ = ("children", "noise", "parent", "path", "style", "tag", "unit")
 
     def __init__(self, tag: str, style: str, parent: Node | None, noise: bool):
         self.tag, self.style, self.parent, self.noise, self.children = tag, style, parent, noise, []
         self.path = xxhash.xxh3_64_intdigest(style.encode("utf-8", "replace"), parent.path if parent else 0)
+        # The node that its text is judged with.
+        self.unit = self if parent is None or tag in _BLOCK or style != tag else parent.unit
 
 
 def parse(html: str) -> Node:
@@ -120,17 +123,23 @@ def parse(html: str) -> Node:
 
 def _features(node: Node, out: list[tuple[int, int, int]]) -> None:
     """Per style node of a page: (path, 0 for its presentation and 1 for a text, hash)."""
-    stack = [node]
+    stack: list = [(node, node)]
+    texts: dict[Node, list[str]] = {}
     while stack:
-        x = stack.pop()
-        if x.tag in _NO_TEXT:
+        x, unit = stack.pop()
+        if isinstance(x, str):
+            texts.setdefault(unit, []).append(x)
+            continue
+        if x.noise or x.tag in _NO_TEXT:
             continue
-        styles = [c.style for c in x.children if isinstance(c, Node)]
-        out.append((x.path, 0, xxhash.xxh3_64_intdigest("\0".join(dict.fromkeys(styles)).encode("utf-8", "replace"))))
-        text = _SPACES.sub(" ", "".join(c for c in x.children if isinstance(c, str))).strip()
+        if x.unit is x:
+            styles = [c.style for c in x.children if isinstance(c, Node)]
+            out.append((x.path, 0, xxhash.xxh3_64_intdigest("\0".join(dict.fromkeys(styles)).encode("utf-8", "replace"))))
+        stack += [(c, x.unit) for c in reversed(x.children)]
+    for x, parts in texts.items():
+        text = _SPACES.sub(" ", "".join(parts)).strip()
         if text:
             out.append((x.path, 1, xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))))
-        stack += [c for c in x.children if isinstance(c, Node)]
 
 
 def _signed(x: int) -> int:
@@ -178,7 +187,7 @@ def style_trees(pages: DataFrame) -> DataFrame:
 
 
 def blocks(html: str | None, low: frozenset[int] = frozenset()) -> list[str]:
-    """The texts of a page's blocks in page order, without the branches that are noise or whose paths are in low."""
+    """The texts of a page's blocks in page order, without the branches that are noise and the texts of nodes whose paths are in low."""
     if not html:
         return []
     root = parse(html)
@@ -196,20 +205,21 @@ def blocks(html: str | None, low: frozenset[int] = frozenset()) -> list[str]:
             out.append(text)
         part.clear()
 
-    work: list = [(root, False)]
+    work: list = [(root, False, False)]
     while work:
-        x, inside = work.pop()
+        x, inside, gone = work.pop()
         if x is None:
             close()
         elif isinstance(x, str):
-            if inside or not articles:
+            if not gone and (inside or not articles):
                 part.append(x)
-        elif not (x.noise or x.tag in _NO_TEXT or (not inside and _signed(x.path) in low)):
+        elif not (x.noise or x.tag in _NO_TEXT):
             inside = inside or x.tag in ("article", "main")
+            gone = not inside and _signed(x.unit.path) in low
             if x.tag in _BLOCK:
                 close()
-                work.append((None, False))
-            work += [(c, inside) for c in reversed(x.children)]
+                work.append((None, False, False))
+            work += [(c, inside, gone) for c in reversed(x.children)]
     close()
     return out
 
