@@ -50,6 +50,20 @@ def test_repeated_loose_text_in_a_wrapper_leaves_what_is_below(spark):
     assert [(r.url, r.text) for r in op.extract(df).collect() if r.text != r.want] == []
 
 
+def test_tree_works_inside_articles_and_copies_count_once(spark):
+    page = "<body><nav>n{0}</nav><article><h1>Title {0}</h1><p>story {0}</p><div class=box>the same on all pages</div></article></body>"
+    copies = "<body><nav>menu {0}</nav><article><p>one story</p><div class=box>in all copies</div></article></body>"
+    rows = [("http://a.example/", page.format(i), f"Title {i} story {i}") for i in range(6)] * 3 + [("http://b.example/", copies.format(i), "one story in all copies") for i in range(20)]
+    df = spark.createDataFrame(rows, "url string, html string, want string").repartition(4)
+    assert [(r.url, r.text, r.want) for r in op.extract(df).collect() if r.text != r.want] == []
+
+
+def test_articles_in_noise_or_for_comments_are_not_the_page():
+    assert op.blocks("<aside><article>teaser</article></aside><div><p>story</p></div>") == ["story"]
+    assert op.blocks("<div><p>story</p></div><article class='comment'>me too</article><article id=comment-7>yes</article>") == ["story"]
+    assert op.blocks("<article class='post tag-news no-comments'>story</article><p>x</p>") == ["story"]
+
+
 def test_importance_by_hand(spark):
     pages = spark.createDataFrame([("a", f"<p>{t}</p>") for t in ("x", "x", "y", "z")], "__host string, __html string")
     leaf = [r for r in op.importance(pages).collect() if r.presentation == 0.0 and r.content is not None]

@@ -9,11 +9,13 @@ and importance 0, text of a single page entropy 0 and importance 1. A node's imp
 the two for inner nodes and the content's for leaves. The text that stands directly in a node of low importance is removed
 from each page; what stands in nodes below it is judged by those nodes, so a branch goes only if all of its nodes are low.
 Inline elements without class or id belong to the text around them. Also removed are branches whose tag or class says that they are menus, notices, adverts, forms or the like, which also holds for hosts
-with a single page, where there is nothing to compare. If a page has an article or main element, its text is what
-is inside, and there the tree removes nothing, so copies of an article don't remove each other; elsewhere it
-removes nodes that stand on at least MIN_PAGES pages.
+with a single page, where there is nothing to compare. If a page has an article or main element outside such branches,
+its text is what is inside; articles named as comments, replies or adverts are such branches themselves. The tree judges
+texts inside articles, too. Pages of a host with the same text before the tree is applied count as one, so copies
+don't remove each other, and it removes texts of nodes that stand on at least MIN_PAGES different pages.
 
-The tree is aggregated with map-side partial sums per (host, path, feature), so a host with a third of all
+Each page's features are packed into one value, and one page of each (host, text) stays, combined before the shuffle.
+The tree is then aggregated with map-side partial sums per (host, path, feature), so a host with a third of all
 pages reaches no task as a group; low-importance nodes of a host, bounded by its templates, not its pages, go
 into one row that joins back by host, where both sides are shuffled and a hot host is split by adaptive execution.
 
@@ -29,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +58,12 @@ _NAMES = re.compile(
     r"|replies|respond|login|signup|search|pagination|pager|copyright|legal|disclaimer|skip|tags?|byline|meta)(?:$|[\s_-])",
     re.I,
 )
+#: Classes and ids of articles that aren't the page's.
+_LESSER = re.compile(
+    r"(?:^|\s)(?:(?:user|blog|post)?[_-]?comments?(?:[_-]?(?:item|body|content|entry|text|list|wrapper|\d+))?|repl(?:y|ies)|responses?|disqus\w*|related(?:[_-](?:posts?|articles?|stor(?:y|ies)|items?))?"
+    r"|recommend\w*|teaser|sponsor\w*|promo\w*|ads?|advert\w*)(?:$|\s)",
+    re.I,
+)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
 _SPACES = re.compile(r"\s+")
@@ -102,6 +111,8 @@ def parse(html: str) -> Node:
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         role = attrs.get("role", "")
         noise = tag in _NOISE or (names != "" and tag not in ("html", "body", "article", "main") and bool(_NAMES.search(names))) or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
+        if tag in ("article", "main") and names and _LESSER.search(names):
+            noise = True
         if tag == "header" and not noise:
             node = here
             while node is not root and node.tag not in ("article", "main"):
@@ -146,27 +157,43 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+_FEATURE = np.dtype([("path", "<u8"), ("kind", "u1"), ("feature", "<u8")])
+
+
+def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per page: host, digest of its text and packed features."""
+    for f in frames:
+        rows = []
+        for host, html in zip(f["__host"], f["__html"]):
+            root, found = parse(html or ""), []
+            _features(root, found)
+            text = "\0".join(_blocks(root))
+            rows.append((host, xxhash.xxh3_128_digest(text.encode("utf-8", "replace")), np.array(sorted(set(found)), _FEATURE).tobytes()))
+        yield pd.DataFrame(rows, columns=["host", "digest", "features"])
+
+
 def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partial style trees: per host, path, kind and feature, on how many pages it stands."""
     for f in frames:
         tree: Counter = Counter()
-        for host, html in zip(f["__host"], f["__html"]):
-            found: list = []
-            _features(parse(html or ""), found)
-            for path, kind, feature in set(found):
+        for host, packed in zip(f["host"], f["features"]):
+            for path, kind, feature in np.frombuffer(packed, _FEATURE).tolist():
                 tree[host, path, kind, feature] += 1
         if tree:
             yield pd.DataFrame([(h, _signed(p), k, _signed(v), n) for (h, p, k, v), n in tree.items()], columns=["host", "path", "kind", "feature", "pages"])
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """pages: __host, __html. Per host and path: m (distinct pages), presentation and content importance.
+def importance(pages: DataFrame, once: bool = False) -> DataFrame:
+    """pages: __host, __html. Per host and path: m (pages; with once, those of different text), presentation and content importance.
 
     A feature stands on each of its k pages once, so its entropy to the base m is log(k) / log(m); presentations are
     one of several on each page, so theirs is that of their shares.
     """
     schema = "host string, path long, kind int, feature long, pages long"
-    each = pages.mapInPandas(_merge, schema).groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("k"))
+    packed = pages.mapInPandas(_pack, "host string, digest binary, features binary")
+    if once:
+        packed = packed.groupBy("host", "digest").agg(F.min("features").alias("features"))
+    each = packed.select("host", "features").mapInPandas(_merge, schema).groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("k"))
     node = each.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("k"))).alias("m"),
         F.sum(F.when(F.col("kind") == 0, F.col("k") * F.log2(F.col("k").cast("double")))).alias("klogk"),
@@ -180,7 +207,7 @@ def importance(pages: DataFrame) -> DataFrame:
 
 def style_trees(pages: DataFrame) -> DataFrame:
     """pages: __host, __html. host, low: the style paths whose importance is low."""
-    tree = importance(pages)
+    tree = importance(pages, once=True)
     value = F.when(F.col("content").isNull(), F.lit(1.0)).otherwise(F.greatest("content", "presentation"))
     low = tree.filter((F.col("m") >= MIN_PAGES) & (value < LOW))
     return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
@@ -188,14 +215,16 @@ def style_trees(pages: DataFrame) -> DataFrame:
 
 def blocks(html: str | None, low: frozenset[int] = frozenset()) -> list[str]:
     """The texts of a page's blocks in page order, without the branches that are noise and the texts of nodes whose paths are in low."""
-    if not html:
-        return []
-    root = parse(html)
+    return _blocks(parse(html), low) if html else []
+
+
+def _blocks(root: Node, low: frozenset[int] = frozenset()) -> list[str]:
     articles, stack = False, [root]
     while stack and not articles:
         x = stack.pop()
-        articles = x.tag in ("article", "main") and not x.noise
-        stack += [c for c in x.children if isinstance(c, Node)]
+        if not (x.noise or x.tag in _NO_TEXT):
+            articles = x.tag in ("article", "main")
+            stack += [c for c in x.children if isinstance(c, Node)]
     out: list[str] = []
     part: list[str] = []
 
@@ -215,7 +244,7 @@ def blocks(html: str | None, low: frozenset[int] = frozenset()) -> list[str]:
                 part.append(x)
         elif not (x.noise or x.tag in _NO_TEXT):
             inside = inside or x.tag in ("article", "main")
-            gone = not inside and _signed(x.unit.path) in low
+            gone = _signed(x.unit.path) in low
             if x.tag in _BLOCK:
                 close()
                 work.append((None, False, False))
