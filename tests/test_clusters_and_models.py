@@ -39,6 +39,17 @@ def test_three_blobs_are_three_pure_families(spark):
     assert all(r.family == f"F{truth[r.id]}" for r in near)
 
 
+def test_large_groups_are_clustered_whole(spark, monkeypatch):
+    x, truth = blobs(per=110)
+    rows = [("big", int(i), [float(y) for y in v]) for i, v in enumerate(x)] + [("small", 1000 + i, [float(y) for y in x[i]]) for i in range(9)]
+    df = spark.createDataFrame(rows, "grp string, id int, v array<float>")
+    exact = {r.id: r.cluster for r in clusters.cluster_groups(df, "grp", "id", "v").collect()}
+    monkeypatch.setattr(clusters, "MOST", 40)
+    got = clusters.cluster_groups(df, "grp", "id", "v").collect()
+    assert {r.id: r.cluster for r in got} == exact and len(got) == len(rows) and len({exact[i] for i in range(330)}) == 3
+    assert {(r.grp, r.method) for r in got} == {("big", "average linkage of micro-clusters"), ("small", "average linkage")}
+
+
 def test_models(spark):
     rows = [(f"disk full on node {i}", "storage", i % 5 + 0.0, float(i % 2)) for i in range(40)] + [(f"login fails for user {i}", "access", 30.0 + i % 5, float(i % 2)) for i in range(40)] + [("odd", "rare", 1.0, 0.0)]
     df = spark.createDataFrame(rows, "text string, category string, hours double, y double")

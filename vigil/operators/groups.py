@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.math import dot
@@ -32,14 +32,18 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vec
     return a.join(b, "cell").filter("a < b AND (ka <> kb OR cell.x = cell.y)").select("a", "b", dot(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") >= threshold)
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Sees that the session has a checkpoint folder: the shared one, or a temporary one in a local session."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+
+
 def component_roots(nodes: DataFrame, links: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     """key and root, the smallest node that links (a, b) connect it with; labels jump until nothing changes.
 
     Every round is checkpointed in the shared folder, so lineage stays short and lost executors cost one round.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    checkpoints(nodes.sparkSession)
     both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
     labels = nodes.select(F.col(key).alias("id"), F.col(key).alias("root")).checkpoint()
     for _ in range(rounds):
