@@ -75,6 +75,19 @@ def same(rows, want):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, full, rel_tol=1e-9), (r, base, full)
 
 
+def test_contexts_with_hundreds_of_millions_of_tokens_are_not_clipped():
+    v, w, c = np.array([1, 1, 1, 2], np.uint64), np.array([5, 6, 7, 5], np.uint64), np.array([3 * 10**8, 40, 1, 1])
+    data = op.train(v, w, c)
+    trie = BigramTrie.mapped(data)
+    (answer,) = op._query([0], [op.put(*(op.small(x) for x in (np.array([1, 0, 0, 1], np.uint64), np.array([5, 1, 1, 5], np.uint64), c)))])
+    p, b, step = op.take(answer)
+    assert step[0] == trie.step and 254 * step[0] < 9.2
+    seen = np.array([c[:3].sum()] * 3 + [1])
+    for got, true in ((op.value(p, step[0]), (c - op.DISCOUNT) / seen), (op.value(b, step[0]), op.DISCOUNT * np.array([3, 3, 3, 1]) / seen)):
+        assert (np.abs(np.log10(got) - np.log10(true)) <= step[0] / 2 + 1e-9).all()
+    assert 0.95 < op.value(p[:3], step[0]).sum() < 1.05
+
+
 def test_query_equals_brute_force_and_beats_the_base(spark, sf):
     docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     rows = op.op3_lm_score(spark, sf).orderBy("doc_id").collect()

@@ -100,10 +100,11 @@ class BigramTrie:
         sequences = [EliasFano(p[0].view(np.uint64), p[1], p[2], p[3].view(np.uint64)) for p in (parts[0:4], parts[4:8], parts[8:12])]
         self.contexts, self.pointers, self.successors = sequences
         self.backoff, self.probability = parts[12], parts[13]
+        self.step = float(buffer[at : at + 8].view(np.float64)[0])
 
     @staticmethod
-    def build(context: np.ndarray, word: np.ndarray, probability: np.ndarray, backoff: np.ndarray) -> bytes:
-        """Rows ascend by (context, word); backoff has one code per distinct context."""
+    def build(context: np.ndarray, word: np.ndarray, probability: np.ndarray, backoff: np.ndarray, step: float = 0.0) -> bytes:
+        """Rows ascend by (context, word); backoff has one code per distinct context; step is that of the codes, in log10."""
         first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
         begin = np.r_[first, len(context)]
         highest = word[begin[1:] - 1].astype(np.uint64) if len(first) else np.zeros(0, np.uint64)
@@ -111,7 +112,7 @@ class BigramTrie:
         shifted = word.astype(np.uint64) + np.repeat(base, np.diff(begin))
         arrays = [*EliasFano.build(context[first]), *EliasFano.build(begin), *EliasFano.build(shifted), backoff, probability]
         raw = [np.ascontiguousarray(a).view(np.uint8).tobytes() for a in arrays]
-        return np.array([len(r) for r in raw], np.int64).tobytes() + b"".join(r + b"\0" * (-len(r) % 8) for r in raw)
+        return np.array([len(r) for r in raw], np.int64).tobytes() + b"".join(r + b"\0" * (-len(r) % 8) for r in raw) + np.array([step]).tobytes()
 
     @staticmethod
     def mapped(data: bytes) -> BigramTrie:

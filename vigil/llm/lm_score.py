@@ -13,7 +13,8 @@ what is shuffled grows with the texts, a few bytes per distinct item of a block.
 
 P(w | v) = max(c(vw) - D, 0) / c(v) + D * N(v) / c(v) * (c(w) + 1) / (N + V + 1), where N(v) counts the distinct words after v;
 a v that training didn't have leaves the unigram. The fractions are quantised, so the trie's score can differ from the exact
-one by half a step of 7/254 in log10 per token at most.
+one by half a step in log10 per token at most. A step is 1/254 of what the shard's probabilities can span: seven decades, or
+log10(c / (1 - D)) for the largest context count c if that is more. It is kept in the shard and sent with its answers.
 
 Defined cases: a null or empty text is its end token alone; texts of any length are scored whole; repeated rows
 count and are scored as often as they come; a null key is hashed as an empty text; without training rows every
@@ -39,12 +40,19 @@ DISCOUNT, STEP = 0.75, 7 / 254
 END = b" "
 
 
-def code(p: np.ndarray) -> np.ndarray:
-    """Probabilities as 1 to 255, evenly over seven decades."""
-    return (1 + np.clip(np.rint(-np.log10(p) / STEP), 0, 254)).astype(np.uint8)
+def step_of(most: int) -> float:
+    """The step for contexts of up to so many training tokens, whose least probability is (1 - D) / most."""
+    return max(STEP, np.log10(max(most, 1) / (1 - DISCOUNT)) / 254)
 
 
-_VALUE = np.r_[0.0, 10.0 ** (-STEP * np.arange(255))]
+def code(p: np.ndarray, step: float = STEP) -> np.ndarray:
+    """Probabilities as 1 to 255, evenly over 254 steps."""
+    return (1 + np.clip(np.rint(-np.log10(p) / step), 0, 254)).astype(np.uint8)
+
+
+def value(codes: np.ndarray, step: float) -> np.ndarray:
+    """The probabilities of codes; 0 for code 0."""
+    return np.r_[0.0, 10.0 ** (-step * np.arange(255))][codes]
 
 
 class _Numbers(dict):
@@ -161,13 +169,14 @@ def train(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
     start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
     after = np.diff(np.r_[start, len(v)])
     seen = np.add.reduceat(c, start) if len(v) else c
-    return BigramTrie.build(v, w, code((c - DISCOUNT) / np.repeat(seen, after)), code(DISCOUNT * after / np.maximum(seen, 1)))
+    step = step_of(int(seen.max()) if len(seen) else 0)
+    return BigramTrie.build(v, w, code((c - DISCOUNT) / np.repeat(seen, after), step), code(DISCOUNT * after / np.maximum(seen, 1), step), step)
 
 
 def _query(_: list[int], packs: list[bytes]) -> list[bytes]:
     read = [_bigrams(p) for p in packs]
     trie = BigramTrie.mapped(train(*(np.concatenate(x) for x in zip(*read))))
-    return [put(*trie.lookup(v, w)) for v, w, _ in read]
+    return [put(*trie.lookup(v, w), np.array([trie.step])) for v, w, _ in read]
 
 
 def _end(payload: bytes | None, answers: dict[int, bytes], names: list[str], n_buckets: int) -> pd.DataFrame:
@@ -177,15 +186,16 @@ def _end(payload: bytes | None, answers: dict[int, bytes], names: list[str], n_b
     payload, total, number, (tokens, distinct) = take(payload)
     counts, stream, _, _, carried = take(payload)
     block = _Block(counts, stream, number.astype(np.uint64), n_buckets)
-    p, b = np.zeros(len(block.v), np.uint8), np.zeros(len(block.v), np.uint8)
+    p, b = np.zeros(len(block.v)), np.zeros(len(block.v))
     for s in range(n_buckets):
         x, y = block.ends[s], block.ends[s + 1]
         if y > x:
-            p[x:y], b[x:y] = take(answers[s])
+            known, backoff, step = take(answers[s])
+            p[x:y], b[x:y] = value(known, step[0]), value(backoff, step[0])
     total = total.astype(np.int64)
     unigram = (total + 1) / (int(tokens) + int(distinct) + 1)
-    below = np.where(b > 0, _VALUE[b], 1.0)[block.inverse] * unigram[stream]
-    logs = np.log10(_VALUE[p][block.inverse] + below)
+    below = np.where(b > 0, b, 1.0)[block.inverse] * unigram[stream]
+    logs = np.log10(p[block.inverse] + below)
     first = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
     frame = unipc(carried).to_pandas()[names] if names else pd.DataFrame(index=range(len(counts)))
     return frame.assign(
