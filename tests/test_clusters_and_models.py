@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from vigil.operators import clusters, models
+from vigil.operators import clusters, groups, models
 
 
 def blobs(per=30, dim=32, seed=1):
@@ -50,6 +50,16 @@ def test_large_groups_are_clustered_whole(spark, monkeypatch):
     assert {(r.grp, r.method) for r in got} == {("big", "average linkage of micro-clusters"), ("small", "average linkage")}
 
 
+def test_components_of_a_long_chain(spark):
+    # Where labels move a node a round: 0 - 299 - 298 - ... - 1, beside a shuffled chain, a pair and single nodes.
+    order = 1000 + np.random.default_rng(4).permutation(300)
+    links = [(0, 299), *[(i + 1, i) for i in range(1, 299)], *zip(order[:-1].tolist(), order[1:].tolist()), (2001, 2000), (3000, 9999), (3001, 9999)]
+    nodes = [*range(300), *range(1000, 1300), 2000, 2001, 3000, 3001]
+    got = groups.component_roots(spark.createDataFrame([(i,) for i in nodes], "id long"), spark.createDataFrame(links, "a long, b long"), "id")
+    want = {i: 0 if i < 300 else 1000 if i < 1300 else 2000 if i < 3000 else i for i in nodes}
+    assert {r.id: r.root for r in got.collect()} == want
+
+
 def test_models(spark):
     rows = [(f"disk full on node {i}", "storage", i % 5 + 0.0, float(i % 2)) for i in range(40)] + [(f"login fails for user {i}", "access", 30.0 + i % 5, float(i % 2)) for i in range(40)] + [("odd", "rare", 1.0, 0.0)]
     df = spark.createDataFrame(rows, "text string, category string, hours double, y double")

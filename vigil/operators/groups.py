@@ -38,23 +38,32 @@ def checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
 
 
-def component_roots(nodes: DataFrame, links: DataFrame, key: str, rounds: int = 64) -> DataFrame:
-    """key and root, the smallest node that links (a, b) connect it with; labels jump until nothing changes.
+def component_roots(nodes: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """key and root, the smallest node that links (a, b) connect it with, by large and small stars until nothing moves.
 
+    Each round sends every neighbour of a node to the smallest of them; larger ones first, then the others. The number of
+    rounds grows with the logarithm of the longest chain. Links with an end that isn't in nodes don't count.
     Every round is checkpointed in the shared folder, so lineage stays short and lost executors cost one round.
     """
     checkpoints(nodes.sparkSession)
-    both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
-    labels = nodes.select(F.col(key).alias("id"), F.col(key).alias("root")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("root").alias("m"))
-        low = labels.join(near, labels.id == near.a, "left").select("id", "root", F.least("root", "m").alias("low"))
-        up = labels.select(F.col("id").alias("low"), F.col("root").alias("up"))
-        new = low.join(up, "low", "left").select("id", F.least("low", "up").alias("root"), (F.least("low", "up") < F.col("root")).alias("moved")).checkpoint()
-        labels = new.select("id", "root")
-        if new.filter("moved").isEmpty():
+    known = nodes.select(F.col(key).alias("u")).distinct().checkpoint()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    edges = edges.join(known, "u", "left_semi").join(known.withColumnRenamed("u", "v"), "v", "left_semi").select("u", "v").checkpoint()
+    before = None
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct().checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        edges = small.filter("u <> v").distinct().checkpoint()
+        # The rounds are over when every node hangs on one other and nothing has moved.
+        state = edges.agg(F.count("*"), F.count_distinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if state == before or state[0] == 0:
             break
-    return labels.select(F.col("id").alias(key), "root")
+        before = state
+    rooted = nodes.select(F.col(key).alias("u")).join(edges, "u", "left")
+    return rooted.select(F.col("u").alias(key), F.coalesce("v", "u").alias("root"))
 
 
 def centroids(df: DataFrame, family: str, vector: str) -> DataFrame:
