@@ -60,6 +60,23 @@ def test_components_of_a_long_chain(spark):
     assert {r.id: r.root for r in got.collect()} == want
 
 
+def test_burst_alerts_link_across_users_and_by_vectors(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from vigil.plans.catalog import registry
+
+    start = datetime(2024, 1, 1, 8, 0)
+    rows = [(1, 0, 10, "error"), (2, 20, 11, "error"), (3, 45, 12, "error"), (4, 46, 13, "login"), (5, 300, 10, "error"), (6, 310, 14, "click"), (7, 325, 15, "view")]
+    events = [(i, start + timedelta(minutes=m), u, f) for i, m, u, f in rows]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(6, [1.0, 0.0]), (7, [0.95, 0.3122]), (4, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.event_id: (list(r.members), r.alert_id, r.detected) for r in registry()["burst_alerts"][0](spark, str(tmp_path)).collect()}
+    assert got == {
+        "1": (["1"], None, False), "2": (["1", "2"], "CORR-2", True), "3": (["2", "3"], "CORR-2", False), "4": (["4"], None, False),
+        "5": (["5"], None, False), "6": (["6"], None, False), "7": (["6", "7"], "CORR-7", True),
+    }
+
+
 def test_models(spark):
     rows = [(f"disk full on node {i}", "storage", i % 5 + 0.0, float(i % 2)) for i in range(40)] + [(f"login fails for user {i}", "access", 30.0 + i % 5, float(i % 2)) for i in range(40)] + [("odd", "rare", 1.0, 0.0)]
     df = spark.createDataFrame(rows, "text string, category string, hours double, y double")
