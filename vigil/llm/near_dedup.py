@@ -181,7 +181,8 @@ def _table(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, class_size, n_links (links of its text to different texts), n_copies, kept."""
+    """One row per row of docs: doc_id, class_id, class_size, n_links (verified links that the search made for its text: to bucket leaders
+    and across components; links within a component that no leader has are not compared, so it isn't the text's degree), n_copies, kept."""
     table = _table(docs.select(key, text), key, text)
     out = table.select(ROW, "__key", "__digest").join(_classes(table, threshold), "__digest")
     return out.select(F.col("__key").alias("doc_id"), "class_id", "class_size", "n_links", "n_copies", (F.col(ROW) == F.col("keep_row")).alias("kept"))
