@@ -11,7 +11,7 @@ PENALTY, BONUS, GATE, ROUNDS = 0.15, 0.05, 0.55, 3
 def sessions(events: DataFrame) -> DataFrame:
     """events: session_id, seq, strategy, answer (WORKED, FAILED or UNKNOWN). State per session after its last event.
 
-    WORKED resolves; FAILED excludes a strategy for good; UNKNOWN skips it once; at the round cap an unresolved session escalates.
+    WORKED resolves; FAILED excludes a strategy for good; UNKNOWN only counts as an attempt, it does not skip the strategy once as it should; at the round cap an unresolved session escalates.
     """
     g = events.groupBy("session_id").agg(
         F.max(F.when(F.col("answer") == "WORKED", F.col("seq"))).alias("worked_at"), F.count("*").alias("attempts"),
