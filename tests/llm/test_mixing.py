@@ -22,11 +22,12 @@ def test_larger_set_equals_sql(spark):
 
 
 SCHEMA = "doc_id long, text string, source string, copies int"
+CLASHES = SCHEMA + ", __row int, __copies int, row int, col int, sid int"
 
 
 def test_nulls_zero_sizes_caps_and_clashes(spark):
     rows = [(1, "a b c", "s1", 0), (1, "a b c", "s1", 0), (2, None, "s2", 0), (3, "a " * 50, None, 0), (None, "", None, 0)]
-    df = spark.createDataFrame(rows, SCHEMA)
+    df = spark.createDataFrame([(*r, 0, 0, 0, 0, 0) for r in rows], CLASHES)
     got = op.plan(df).collect()
     assert len(got) == 5
     t = {r.source: (r.source_size, r.target) for r in got}
@@ -47,3 +48,8 @@ def test_partitions_do_not_change_the_draw(spark):
     one = sorted((r.doc_id, r.copies) for r in op.plan(df.coalesce(1)).collect())
     many = sorted((r.doc_id, r.copies) for r in op.plan(df.repartition(7)).collect())
     assert one == many
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 500_000, "a", 0), (2, "w w", "b", 0)], SCHEMA)
+    assert {r.doc_id: r["size"] for r in op.plan(df).collect()} == {1: 500_000, 2: 2}

@@ -81,16 +81,53 @@ def test_chains_and_borderline_pairs_equal_brute_force(spark):
     assert got == dict(enumerate(root))
 
 
-def test_large_group_costs_no_square(spark):
+def test_large_group_costs_no_square(spark, monkeypatch):
+    compared = []
+    links = op._links
+    monkeypatch.setattr(op, "_links", lambda pairs, *a: compared.append(pairs.count()) or links(pairs, *a))
     base = [f"w{i}" for i in range(300)]
     texts = [" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in range(300)] * 2
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = op.classes(df).collect()
-    assert {(r.class_id, r.class_size, r.n_copies) for r in rows} == {(0, 600, 2)} and sum(r.n_links for r in rows) < 600 * 40
+    assert {(r.class_id, r.class_size, r.n_copies) for r in rows} == {(0, 600, 2)} and sum(compared) < 300 * 20
+
+
+def test_unlinked_texts_of_a_bucket_are_not_compared_by_text(spark, monkeypatch):
+    """Texts that share half their words: buckets bring some together, sketches keep all but a few from verification."""
+    compared = []
+    links = op._links
+    monkeypatch.setattr(op, "_links", lambda pairs, *a: compared.append(pairs.count()) or links(pairs, *a))
+    texts = [" ".join([*(f"w{i}" for i in range(150)), *(f"x{k}y{i}" for i in range(60))]) for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert op.classes(df).select("class_id").distinct().count() == 300 and sum(compared) < 0.05 * 300 * 299 / 2
+
+
+def test_recall_of_bands_and_sketches():
+    """At similarity 0.8 to 0.9, pairs that meet in a band and pass the sketch, over all pairs."""
+    rng = np.random.default_rng(2)
+    found = total = 0
+    for _ in range(400):
+        keys, n = rng.integers(0, 2**63, 400).astype(np.uint64), int(rng.integers(20, 45))
+        one = np.sort(keys), np.ones(400, np.int64)
+        other = np.sort(np.r_[keys[n:], rng.integers(0, 2**63, n).astype(np.uint64)]), np.ones(400, np.int64)
+        if op.similarity(one, other) >= 0.8:
+            s = op.signatures([one, other])
+            bands, x = op.band_hashes(s), op.sketches(s).view(np.uint8)
+            bits = np.unpackbits(x[0] ^ x[1])
+            total += 1
+            found += bool((bands[0] == bands[1]).any() and (bits[:128] | bits[128:]).sum() <= op.DIFFERENT)
+    assert total > 300 and found >= 0.98 * total
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i % 5000}x{i % 7919}" for i in range(200_000)]
+    texts = [" ".join(words), " ".join([*words[:-500], *(["z"] * 500)]), " ".join(reversed(words))]
+    got, _ = classes_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got == {0: 0, 1: 0, 2: 2}
 
 
 def test_nulls_ties_clashes_and_empty_tables(spark):
-    df = spark.createDataFrame([(None, "a b c d e f", "p"), (4, "a b c d e f", "q"), (4, "a b c d e f", "q"), (9, None, "r"), (8, "", "s")], "doc_id long, text string, class_id string")
+    df = spark.createDataFrame([(None, "a b c d e f", "p", 0, 0, 0), (4, "a b c d e f", "q", 0, 0, 0), (4, "a b c d e f", "q", 0, 0, 0), (9, None, "r", 0, 0, 0), (8, "", "s", 0, 0, 0)], "doc_id long, text string, class_id string, __row int, n int, key int")
     kept = op.dedup(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id, r.text, r.class_id) for r in kept.collect()) == [(4, "a b c d e f", "q"), (8, "", "s")]

@@ -42,7 +42,8 @@ def test_run_equals_brute_force(spark, sf):
 def test_stages_keep_the_columns_and_take_nulls_and_empty_tables(spark):
     good = "The pump failed at night, and the crew changed the seal before the morning shift came in {}."
     rows = [(1, None, "en", "a", 0), (2, good.format(1), "en", "a", 1), (3, good.format(1), None, None, 1), (None, good.format("again now"), "en", "b", 1), (5, "", "en", "a", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(*r, 0, 0, 0) for r in [*rows, rows[1], rows[1]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __row int, __doc int, kept int")
     for frame in (docs, docs.limit(0)):
         d = frame
         for _, stage in pipeline.STAGES[:-1]:
@@ -55,3 +56,12 @@ def test_stages_keep_the_columns_and_take_nulls_and_empty_tables(spark):
 def test_the_first_stage_is_native(spark, sf):
     plan = pipeline.quality_rules(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_run_with_nulls_ties_and_extra_columns(spark, tmp_path):
+    good = "The pump failed at night, and the crew changed the seal before the morning shift came in {}."
+    rows = [(1, None, "a"), (2, good.format(1), "a"), (2, good.format(1), "a"), (3, "", None), (None, good.format("and left " * 9), None), (4, good.format(1) * 3000, "a")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, __row int, __doc int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r.doc_id, r.source) for r in pipeline.run(spark, str(tmp_path)).collect())
+    assert set(got) <= {(2, "a"), (None, None)} and got[2, "a"] > 0

@@ -41,6 +41,8 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
     assert got.columns == df.columns and sorted(r.kept for r in got.collect()) == [2, 3]
     assert op.judge(df).filter("base_failed").count() == 2
     assert op.keep_good(df.limit(0)).count() == 0
+    more = df.selectExpr("*", "1 AS __text", "2 AS __lines", "3 AS __doc", "4 AS __low", "5 AS __stop")
+    assert op.keep_good(more).columns == more.columns and {(r["__text"], r["__doc"], r["__low"]) for r in op.judge(more).collect()} == {(1, 3, 4)}
 
 
 def test_very_long_text(spark):

@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import written
+from vigil.llm.shared import Work
 
 
-def components(links: DataFrame, what: str = "components") -> DataFrame:
+def components(links: DataFrame, work: Work | None = None) -> DataFrame:
     """links: a, b (long). node, label for every node with a link; the label is the component's smallest node.
 
     Each round sends every neighbour of a node to the smallest of them; larger ones first, then the others. The
     number of rounds grows with the logarithm of the longest chain. A hub's links are aggregated before they are
-    shuffled and joined as a skewed key, never gathered. Every round is written to the shared folder.
+    shuffled and joined as a skewed key, never gathered. Every round is written to the shared folder, and the round
+    before it is deleted.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), what)
+    work = work or Work(links.sparkSession, "components")
+    edges = work.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), what)
+        least = work.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.filter("u <> v").distinct(), what)
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), what)
+        large = work.write(large.filter("u <> v").distinct(), "large")
+        low = work.write(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), what)
+        done, edges = edges, work.write(small.filter("u <> v").distinct(), "edges")
+        work.drop(done, least, large, low)
         # The rounds are over when every node hangs on one other and nothing has moved.
         state = edges.agg(F.count("*"), F.count_distinct("u"), F.sum(F.hash("u", "v").cast("decimal(20,0)"))).first()
         if state == before or state[0] == 0:
@@ -32,4 +35,6 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
         before = state
     labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return written(labels.union(roots), what)
+    out = work.write(labels.union(roots), "labels")
+    work.drop(edges)
+    return out

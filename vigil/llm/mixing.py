@@ -12,7 +12,8 @@ are exact in any order and reruns agree. Only identifiers, sources and sizes are
 
 Defined cases: a null text has size 0; sources are ordered by code point, null last, and null is a source of its
 own; a source of size 0 gets target 0 and gives nothing; equal documents are told apart by doc_id, then by row;
-an empty table gives an empty result; in mix(), columns come back unchanged, a document once per copy.
+an empty table gives an empty result; doc_id must be castable to a 64-bit integer; in mix(), columns come back
+unchanged, whatever their names, a document once per copy. The windows over sources run in one task: a source is one row there.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import ROW, WORD, staged, with_row, written
+from vigil.llm.shared import WORD, Work, identified
 
 WEIGHTS, MOST, UNIT, SEED = (5, 2, 1), 3, 1 << 24, "mix-1"
 
 
-def word_count(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -71,40 +72,45 @@ def _running(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.assign(before=before, part=part)
 
 
-def copies(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """sizes: __row, doc_id, source, size, in a written table. The same rows with source_size, target and copies."""
+def copies(sizes: DataFrame, work: Work, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """sizes: row, doc_id, source, size, in a written table. The same rows with source_size, target and copies; other work tables are gone."""
     spark = sizes.sparkSession
-    src = written(targets(sizes, weights, most), "mix-sources")
+    src = work.write(targets(sizes, weights, most), "sources")
     expected = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * UNIT).cast("long")).otherwise(F.lit(0))
     rows = sizes.alias("a").join(src.alias("b"), F.expr("a.source <=> b.source")).select("a.*", "sid", "source_size", "target", expected.alias("expected"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ("sid", "size", "doc_id", ROW)
+    order = ("sid", "size", "doc_id", "row")
     laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    laid = written(laid.mapInPandas(_running, f"{rows._jdf.schema().toDDL()}, before long, part int"), "mix-laid")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    laid = work.write(laid.mapInPandas(_running, f"{kinds}, before long, part int"), "laid")
     parts = laid.groupBy("sid", "part").agg(F.sum("expected").alias("total"))
     start = F.sum("total").over(Window.partitionBy("sid").orderBy("part")) - F.col("total")
     laid = laid.join(parts.select("sid", "part", start.alias("start")), ["sid", "part"])
     offset = F.conv(F.substring(F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit(f":{seed}"))), 1, 6), 16, 10).cast("long")
     low = F.col("before") + F.col("start") + offset
     passed = F.shiftright(low + F.col("expected"), 24) - F.shiftright(low, 24)
-    return laid.select(ROW, "doc_id", "source", "size", "source_size", "target", passed.alias("copies"))
+    return work.last(laid.select("row", "doc_id", "source", "size", "source_size", "target", passed.alias("copies")), "copies")
 
 
-def _sizes(rows: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    return written(rows.select(ROW, F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")), "mix-sizes")
+def _sizes(rows: DataFrame, key: str, source: str, text: str, work: Work) -> DataFrame:
+    """rows: doc, row."""
+    named = F.col(f"doc.`{key}`").cast("long").alias("doc_id"), F.col(f"doc.`{source}`").cast("string").alias("source")
+    return work.write(rows.select("row", *named, word_count(F.col(f"doc.`{text}`")).alias("size")), "sizes")
 
 
 def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    return copies(_sizes(with_row(docs), key, source, text)).drop(ROW).withColumn("taken", F.col("copies") * F.col("size"))
+    work = Work(docs.sparkSession, "mix")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in {key: 0, source: 0, text: 0}]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    return copies(_sizes(rows, key, source, text, work), work).drop("row").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of the mix: each document as often as it was drawn."""
-    rows = staged(docs, "mix")
-    drawn = copies(_sizes(rows, key, source, text)).filter("copies > 0").select(ROW, "copies")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.join(drawn.withColumnRenamed("copies", "__copies"), ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    work, rows = Work(docs.sparkSession, "mix"), identified(docs, "mix")
+    drawn = copies(_sizes(rows, key, source, text, work), work).filter("copies > 0").select("row", "copies")
+    # Both sides are shuffled at any size; a row's number of copies is at most MOST by its target.
+    return rows.join(drawn.hint("merge"), "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,16 +7,19 @@ parent interval to its part. Each point falls on one of m registers, and a regis
 process stops once its time is past the text's latest register, so most shingles draw a single point. Two texts
 agree in a register with probability equal to their weighted Jaccard similarity.
 
-Registers are banded. In each band bucket all texts are compared with the one of lowest random rank; links are
-verified on the whole bags. Buckets that still hold unconnected texts afterwards have all pairs across components
-compared, after exact bounds on size, so no link that shares a bucket is lost. A group of n copies that link to its
-leaders costs about n comparisons; members of a bucket that stay unlinked cost the square of their number. With 32 bands of 4 registers a pair of similarity 0.8 shares a bucket
-with probability 1 - 5e-8. Equal texts are one node from the start. Components of the links are the classes.
+Registers are banded, 21 bands of 6: a pair of similarity 0.8 shares a bucket with probability 0.998, one of 0.85 with
+0.9999. Pairs that share a bucket are candidates if their bag sizes and their register sketches (two bits of each register,
+so similarity 0.8 passes but for one pair in 100,000, and below 0.6 hardly any) allow the threshold; both are conditions of
+the join, so other pairs of a bucket are never rows. In a first round a bucket's texts are paired with the one of lowest random
+rank only; links are verified on the whole bags. Where a bucket then holds texts outside its leader's component, these
+are paired with all of the bucket's texts in other components. So a group of n copies that link to their leaders costs about
+n comparisons, and no candidate pair between two components is left out. Only texts with a candidate are fetched for verification. Equal
+texts are one node from the start. Components of the links are the classes.
 
 Defined cases: equal texts share a class, null counting as empty; texts of one to four words have a single
 shingle, all of their words; texts without words have no links but to equal texts; a class is named by its smallest
 doc_id, whose row is kept (of rows with equal doc_id, one; null only if the class has no other); an empty table
-gives an empty result; in dedup(), columns come back unchanged.
+gives an empty result; doc_id must be castable to a 64-bit integer; in dedup(), columns come back unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,15 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.components import components
 from vigil.llm.hashing import GOLD, WordHashes, mix, ngram_hashes, unit
 from vigil.llm.packs import squeeze, unsqueeze
-from vigil.llm.shared import ROW, with_row, written
+from vigil.llm.shared import Work, chosen, identified
 
-SHINGLE, SIMILARITY, REGISTERS, BANDS = 5, 0.8, 128, 32
+SHINGLE, SIMILARITY, REGISTERS, BANDS = 5, 0.8, 126, 21
+#: Sketch bits in which two texts may differ. At similarity s a register differs with probability 3/4 (1 - s): at 0.8 in 18.9, standard deviation 4.
+DIFFERENT = 36
 #: Words whose hashes a task remembers, and texts whose registers are filled at a time.
 MEMO_WORDS, BATCH = 300_000, 1024
 
@@ -97,19 +102,29 @@ def band_hashes(registers: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h
 
 
+def sketches(registers: np.ndarray) -> np.ndarray:
+    """Two bits of every register's hash, for each row of registers as four integers: first bits, first bits, second bits, second bits."""
+    bits = mix(registers.view(np.uint64) * GOLD)
+    wide = np.zeros((len(bits), 2, 128), np.uint8)
+    wide[:, 0, : bits.shape[1]], wide[:, 1, : bits.shape[1]] = bits >> np.uint64(63), (bits >> np.uint64(62)) & np.uint64(1)
+    return np.packbits(wide.reshape(len(bits), 256), axis=1).view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH):
             part = batch.slice(at, BATCH)
-            texts = [x.as_py() for x in part.column("__text")]
+            texts = [x.as_py() for x in part.column("text")]
             raw = [(t or "").encode("utf-8") for t in texts]
             bags = [bag(t) for t in raw]
-            hashes = band_hashes(signatures(bags)).view(np.int64)
-            columns = {n: part.column(n) for n in part.schema.names if n != "__text"}
-            columns["__digest"] = pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in raw], pa.binary())
-            columns["__size"] = pa.array([int(c.sum()) for _, c in bags], pa.int64())
-            columns["__bands"] = pa.array([h if len(b[0]) else [] for h, b in zip(hashes, bags)], pa.list_(pa.int64()))
-            columns["__packed"] = pa.array([None if t is None else squeeze(r) for t, r in zip(texts, raw)], pa.binary())
+            registers = signatures(bags)
+            hashes = band_hashes(registers).view(np.int64)
+            columns = {n: part.column(n) for n in part.schema.names if n != "text"}
+            columns["digest"] = pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in raw], pa.binary())
+            columns["size"] = pa.array([int(c.sum()) for _, c in bags], pa.int64())
+            columns["bands"] = pa.array([h if len(b[0]) else [] for h, b in zip(hashes, bags)], pa.list_(pa.int64()))
+            columns |= {f"s{k}": pa.array(x, pa.int64()) for k, x in enumerate(sketches(registers).T)}
+            columns["packed"] = pa.array(map(squeeze, raw), pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -126,82 +141,91 @@ def _verify(threshold: float):
             return found
 
         for f in frames:
-            linked = [similarity(bag(unsqueeze(pa_)), of(b, pb)) >= threshold for b, pa_, pb in zip(f["b"], f["packed_a"], f["packed_b"])]
+            linked = [similarity(of(-1 - a, pa_), of(b, pb)) >= threshold for a, b, pa_, pb in zip(f["a"], f["b"], f["packed_a"], f["packed_b"])]
             yield f.loc[np.array(linked, bool), ["a", "b"]]
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (a, b) whose texts are similar."""
-    one = texts.select(F.col(ROW).alias("a"), F.col("__packed").alias("packed_a"))
-    two = texts.select(F.col(ROW).alias("b"), F.col("__packed").alias("packed_b"))
-    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "packed_a", "packed_b").mapInPandas(_verify(threshold), "a long, b long"), "near-links")
+def _links(pairs: DataFrame, table: DataFrame, threshold: float, work: Work) -> DataFrame:
+    """Those pairs (a, b) whose texts are similar. The texts of all pairs are drawn out of the table in one shuffle first."""
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "n")
+    held = work.write(table.select(F.col("n"), "packed").join(wanted.hint("merge"), "n", "left_semi"), "held")
+    one, two = held.select(F.col("n").alias("a"), F.col("packed").alias("packed_a")), held.select(F.col("n").alias("b"), F.col("packed").alias("packed_b"))
+    links = work.write(pairs.join(one, "a").join(two, "b").select("a", "b", "packed_a", "packed_b").mapInPandas(_verify(threshold), "a long, b long"), "links")
+    work.drop(held)
+    return links
+
 
+def _close(x: str, y: str, threshold: float) -> Column:
+    """Whether sizes and sketches allow the threshold."""
+    other = lambda k: F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))
+    apart = F.bit_count(other(0).bitwiseOR(other(2))) + F.bit_count(other(1).bitwiseOR(other(3)))
+    return (F.least(f"{x}.size", f"{y}.size") >= F.greatest(f"{x}.size", f"{y}.size") * threshold) & (apart <= DIFFERENT)
 
-def _classes(table: DataFrame, threshold: float) -> DataFrame:
-    """table: __row, __key, __digest, __size, __bands, __packed. One row per distinct text: digest, class, class_size, keep_row, n_links."""
-    first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col(ROW).alias("row")))
-    texts = table.groupBy("__digest").agg(F.min(ROW).alias("rep"), first.alias("first"), F.count("*").alias("copies"), F.any_value("__bands").alias("bands"), F.any_value("__size").alias("size"))
-    texts = written(texts, "near-texts")
-    banded = texts.select("rep", "size", F.explode("bands").alias("h"))
+
+def _classes(table: DataFrame, threshold: float, work: Work) -> DataFrame:
+    """table: n, row, key, digest, size, bands, s0 to s3, packed. One row per row of it: row, key, class_id, class_size, n_copies, kept."""
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("n").alias("n")))
+    some = [F.any_value(c).alias(c) for c in ("bands", "size", "s0", "s1", "s2", "s3")]
+    texts = work.write(table.groupBy("digest").agg(F.min("n").alias("rep"), first.alias("first"), F.count("*").alias("copies"), *some), "texts")
+    sketch = texts.select("rep", "size", "s0", "s1", "s2", "s3")
+    banded = texts.select("rep", F.explode("bands").alias("h"))
     rank = F.struct(F.xxhash64("rep").alias("rank"), F.col("rep").alias("lead"))
-    lead = banded.groupBy("h").agg(F.min(rank).alias("least"), F.count("*").alias("n")).filter("n > 1")
-    lead = written(lead.select("h", F.col("least.lead").alias("lead")), "near-buckets")
-    members = written(banded.join(lead, "h"), "near-members")
-    pairs = written(members.filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "near-pairs")
-    links = _links(pairs, table, threshold)
-    label = components(links)
-    # What a bucket holds besides its leader's component: all pairs across components that sizes allow.
+    lead = banded.groupBy("h").agg(F.min(rank).alias("least"), F.count("*").alias("n")).filter("n > 1").select("h", F.col("least.lead").alias("lead"))
+    members = work.write(banded.join(lead.hint("merge"), "h"), "members")
+    pairs = members.filter("rep <> lead").select("rep", "lead").distinct()
+    pairs = pairs.alias("p").join(sketch.alias("x"), F.col("p.rep") == F.col("x.rep")).join(sketch.alias("y"), (F.col("p.lead") == F.col("y.rep")) & _close("x", "y", threshold))
+    pairs = work.write(pairs.select(F.col("p.rep").alias("a"), F.col("p.lead").alias("b")), "pairs")
+    links = _links(pairs, table, threshold, work)
+    label = components(links, work)
+    # What a bucket holds besides its leader's component: paired with the bucket's texts in all other components.
     label = label.select(F.col("node").alias("rep"), "label")
-    known = written(members.join(label, "rep", "left").select("h", "rep", "size", F.coalesce("label", "rep").alias("label")), "near-known")
-    mixed = written(known.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h"), "near-mixed")
-    rest = written(known.join(mixed, "h"), "near-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    fits = (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
-    more = x.join(y, (F.col("x.h") == F.col("y.h")) & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(more.join(done, ["a", "b"], "left_anti"), "near-more")
+    known = work.write(members.join(label, "rep", "left").select("h", "rep", F.coalesce("label", "rep").alias("label"), (F.col("rep") == F.col("lead")).alias("leads")), "known")
+    work.drop(members)
+    heads = known.filter("leads").select("h", F.col("label").alias("main"))
+    apart = known.join(heads, "h").filter("label <> main").select("h").distinct()
+    mixed = work.write(known.join(apart, "h", "left_semi").join(heads, "h").join(sketch, "rep"), "mixed")
+    x, y = mixed.filter("label <> main").alias("x"), mixed.alias("y")
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
+    more = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & once & _close("x", "y", threshold))
+    more = more.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+    done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = work.write(more.join(done, ["a", "b"], "left_anti"), "more")
+    work.drop(known, mixed)
+    label = work.write(texts.select("rep").join(label, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "label")
     if not more.isEmpty():
-        links = links.union(_links(more, table, threshold))
-        label = components(links).select(F.col("node").alias("rep"), "label")
-    degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    named = written(texts.drop("bands").join(label, "rep", "left").join(degree, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "near-named")
-    whole = written(named.groupBy("label").agg(F.min("first").alias("least"), F.sum("copies").alias("class_size")), "near-classes")
-    cols = [F.col("least.key").alias("class_id"), F.col("least.row").alias("keep_row"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies")]
-    return written(named.join(whole, "label").select("__digest", *cols), "near-answers")
-
-
-def _table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    rest = [c for c in docs.columns if c != text]
-    whole = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("struct<none:int>")
-    rows = with_row(docs).select(ROW, F.col(f"`{key}`").cast("long").alias("__key"), whole.alias("__doc"), F.col(f"`{text}`").cast("string").alias("__text"))
-    kind = rows.schema["__doc"].dataType.simpleString()
-    return written(rows.mapInArrow(_sketch, f"{ROW} long, __key long, __doc {kind}, __digest binary, __size long, __bands array<long>, __packed binary"), "near-table")
+        # Components of the components, over the links between them.
+        ends = _links(more, table, threshold, work)
+        ends = ends.join(label.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b")
+        over = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), work).select(F.col("node").alias("label"), F.col("label").alias("top"))
+        label = work.write(label.join(over, "label", "left").select("rep", F.coalesce("top", "label").alias("label")), "label")
+    named = work.write(texts.select("digest", "rep", "first", "copies").join(label, "rep"), "named")
+    whole = named.groupBy("label").agg(F.min("first").alias("least"), F.sum("copies").alias("class_size"))
+    cols = [F.col("least.key").alias("class_id"), F.col("least.n").alias("keep"), "class_size", F.col("copies").alias("n_copies")]
+    answers = work.write(named.join(whole, "label").select("digest", *cols), "answers")
+    out = table.select("n", "row", "key", "digest").join(answers, "digest")
+    return work.last(out.select("row", "key", "class_id", "class_size", "n_copies", (F.col("n") == F.col("keep")).alias("kept")), "classes")
+
+
+def _search(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """rows: doc, row."""
+    work = Work(rows.sparkSession, "near")
+    table = rows.select(F.monotonically_increasing_id().alias("n"), "row", F.col(f"doc.`{key}`").cast("long").alias("key"), F.col(f"doc.`{text}`").cast("string").alias("text"))
+    schema = "n long, row struct<file: long, at: long>, key long, digest binary, size long, bands array<long>, s0 long, s1 long, s2 long, s3 long, packed binary"
+    return _classes(work.write(table.mapInArrow(_sketch, schema), "table"), threshold, work)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, class_size, n_links (verified links that the search made for its text: to bucket leaders
-    and across components; links within a component that no leader has are not compared, so it isn't the text's degree), n_copies, kept."""
-    table = _table(docs.select(key, text), key, text)
-    out = table.select(ROW, "__key", "__digest").join(_classes(table, threshold), "__digest")
-    return out.select(F.col("__key").alias("doc_id"), "class_id", "class_size", "n_links", "n_copies", (F.col(ROW) == F.col("keep_row")).alias("kept"))
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [None if x.as_py() is None else unsqueeze(x.as_py()).decode("utf-8") for x in batch.column("__packed")]
-        yield pa.RecordBatch.from_arrays([batch.column("__doc"), pa.array(texts, pa.string())], names=["__doc", "__text"])
+    """One row per row of docs: doc_id, class_id, class_size (rows), n_copies (rows with its text), kept. The search has run when it returns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in {key: 0, text: 0}]).alias("doc"), F.lit(None).cast("struct<file: long, at: long>").alias("row"))
+    return _search(rows, key, text, threshold).select(F.col("key").alias("doc_id"), "class_id", "class_size", "n_copies", "kept")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay, one of each class, with their columns as they were."""
-    table = _table(docs, key, text)
-    keep = _classes(table, threshold).select(F.col("keep_row").alias(ROW)).distinct()
-    left = table.select(ROW, "__doc", "__packed").join(keep, ROW, "left_semi")
-    kind = table.schema["__doc"].dataType.simpleString()
-    out = left.select("__doc", "__packed").mapInArrow(_unpack, f"__doc {kind}, __text string")
-    return out.select(*[F.col("__text").alias(c) if c == text else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
+    rows = identified(docs, "near")
+    return chosen(rows, _search(rows, key, text, threshold).filter("kept").select("row"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,12 +78,14 @@ def _covered(windows: Column) -> Column:
     return F.coalesce(F.when(windows.isNotNull(), total), F.lit(0)).cast("long")
 
 
-def judge(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost_words, kept and cleaned.
+#: The columns that judging adds; an input column of such a name is replaced.
+OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept", "cleaned")
 
-    cleaned is the text without its failing lines; n_lost_words counts the words in those.
-    """
-    c = F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+def _judged(df: DataFrame, text: str) -> DataFrame:
+    """__doc, a struct of all columns of df, and the columns of OUT. As df's own columns are in the struct, none can clash."""
+    c = F.coalesce(F.col("__raw").cast("string"), F.lit(""))
+    df = df.select(F.struct(*[F.col(f"`{x}`") for x in df.columns]).alias("__doc"), F.col(f"`{text}`").alias("__raw"))
     df = df.withColumns({"__hashes": F.transform(_words(c), lambda w: F.xxhash64(w)), "__lines": F.filter(F.split(c, "\n", -1), lambda x: x.rlike(WORD)), "__text": c, "__low": F.lower(c)})
     marks, bars = tuple([*SYMBOLS, "!!"]), tuple(f" {x} " for x in "|>/»›•·")
     df = df.withColumns({"__windows": F.transform(_starts(F.col("__hashes")), lambda i: _window_hash(F.col("__hashes"), i)), "__phrases": _any(F.col("__low"), _HINTS), "__marks": _any(F.col("__text"), marks), "__bars": _any(F.col("__text"), bars)})
@@ -107,17 +109,23 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") * 10 <= F.col("n_words") * round(10 * MAX_LOST)))
     kept_lines = F.filter(F.split("__text", "\n", -1), lambda x: ~(x.rlike(WORD) & _line_fails(x)))
     df = df.withColumn("cleaned", F.when(F.size("__bad") == 0, F.col("__text")).otherwise(F.array_join(kept_lines, "\n")))
-    return df.drop("__hashes", "__lines", "__text", "__low", "__phrases", "__windows", "__marks", "__bars", "__sorted", "__bad")
+    return df.select("__doc", *OUT)
+
+
+def judge(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the columns of OUT: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_words, base_failed, kept and cleaned.
+
+    cleaned is the text without its failing lines; n_lost_words counts the words in those.
+    """
+    own = [F.col(f"__doc.`{c}`").alias(c) for c in df.columns if c not in OUT]
+    return _judged(df, text).select(*own, *OUT)
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of df whose documents are kept, with their columns as they were."""
-    if "__doc" in df.columns:
-        raise ValueError("the input has a column __doc")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__doc"), F.col(text).alias("text"))
     # A filter on a projection is otherwise moved below it and into the functions on arrays, which are then
     # computed for every element; it doesn't pass a column that differs from run to run.
-    judged = judge(rows).select("__doc", "kept", F.monotonically_increasing_id().alias("__stop"))
+    judged = _judged(df, text).select("__doc", "kept", F.monotonically_increasing_id().alias("__stop"))
     return judged.filter(F.col("kept") & (F.col("__stop") >= 0)).select("__doc.*")
 
 

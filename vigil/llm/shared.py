@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,17 +74,78 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Name of the row number that staged() adds; a column of that name in the input is refused.
-ROW = "__row"
+class Work:
+    """The work tables of one call, in a folder of its own below the shared folder. Superseded ones are deleted as soon as nothing reads them."""
 
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.root, self.tables = spark, work_path(spark, what), {}
 
-def with_row(df: DataFrame) -> DataFrame:
-    """df with a number that differs for every row. It holds for one evaluation, so write it before using it twice."""
-    if ROW in df.columns:
-        raise ValueError(f"the input has a column {ROW}")
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    def write(self, df: DataFrame, what: str) -> DataFrame:
+        """The same rows, written and read back: it cuts the lineage and outlives lost executors."""
+        path = f"{self.root}/{what}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(back)] = (back, path)
+        return back
 
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(self.spark, self.tables.pop(id(t))[1])
 
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """The whole rows with their row numbers, written once, so that later passes agree on the numbers."""
-    return written(with_row(df), what)
+    def last(self, df: DataFrame, what: str) -> DataFrame:
+        """Write df and delete all other tables of this call."""
+        out = self.write(df, what)
+        self.drop(*[t for t, _ in list(self.tables.values()) if t is not out])
+        return out
+
+
+def _store(spark: SparkSession, path: str):
+    """The path and its file system, in whichever store it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, store = _store(spark, path)
+    store.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _store(spark, path)
+    return store.exists(at)
+
+
+#: Logical operators that pass each row of a table at most once.
+_ONE_TO_ONE = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
+
+def _one_scan(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _ONE_TO_ONE or plan.nodeName().startswith("Relation"):
+        below = plan.children()
+        if below.size() == 0:
+            return True
+        plan = below.head()
+    return False
+
+
+def identified(df: DataFrame, what: str) -> DataFrame:
+    """doc, a struct of all columns of df, and row, a struct that tells its rows apart and is the same in every scan.
+
+    A table that Spark reads from files is told apart by file and place in the file and isn't written again;
+    anything else is written once below the shared folder, as its row numbers hold for one evaluation only.
+    As all columns are in the struct, none can clash.
+    """
+    doc = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
+    if "_metadata" not in df.columns and _one_scan(df):
+        try:
+            return df.select(doc, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("row"))
+        except AnalysisException:
+            pass  # not a file source
+    numbered = df.select(doc, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")).alias("row"))
+    return written(numbered, what)
+
+
+def chosen(rows: DataFrame, keep: DataFrame) -> DataFrame:
+    """The documents of identified() rows whose row is in keep, with their columns as they were. Both sides are shuffled at any size."""
+    return rows.join(keep.hint("merge"), "row", "left_semi").select("doc.*")
