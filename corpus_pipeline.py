@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality
-from vigil.llm.shared import written
+from vigil.llm.shared import remove, work_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(docs, exact_dedup.fresh_index(spark), "pipeline")
+    index = exact_dedup.fresh_index(spark)
+    out = exact_dedup.dedup(docs, index, "pipeline")
+    index.close()
+    return out
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +50,14 @@ STAGES = [("quality rules", quality_rules), ("exact dedup", exact), ("near dedup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path := work_path(spark, "stage"))
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:  # its successor is committed
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
