@@ -99,7 +99,7 @@ class BigramTrie:
             at += -(-n // 8) * 8
         sequences = [EliasFano(p[0].view(np.uint64), p[1], p[2], p[3].view(np.uint64)) for p in (parts[0:4], parts[4:8], parts[8:12])]
         self.contexts, self.pointers, self.successors = sequences
-        self.backoff, self.probability = parts[12], parts[13]
+        self.backoff, self.probability = parts[12].view(np.uint16), parts[13].view(np.uint16)
         self.step = float(buffer[at : at + 8].view(np.float64)[0])
 
     @staticmethod
@@ -124,7 +124,7 @@ class BigramTrie:
 
     def lookup(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability code and back-off code of each pair; 0 where it isn't there."""
-        none = np.zeros(len(context), np.uint8)
+        none = np.zeros(len(context), np.uint16)
         if not len(self.backoff) or not len(context):
             return none, none.copy()
         zero = np.zeros(len(context), np.int64)

@@ -1,7 +1,7 @@
 """Operator 3, language-model scores from an Elias-Fano n-gram trie.
 
 Method: a bigram model with absolute discounting, interpolated with add-one unigrams, is counted over all training
-texts and kept as trie shards whose levels are Elias-Fano sequences with monotone pointers and 8-bit logarithmic
+texts and kept as trie shards whose levels are Elias-Fano sequences with monotone pointers and 16-bit logarithmic
 codes of the smoothed probabilities and back-off weights, in flat memory-mapped buffers. A query finds its context,
 then the successor within the context's range (see elias_fano).
 
@@ -11,14 +11,16 @@ their first word, where the training counts are summed up, the shard's trie is b
 bigrams are looked up. Texts are scored in their block from the answered codes. Counts come from all training texts;
 what is shuffled grows with the texts, a few bytes per distinct item of a block.
 
-P(w | v) = max(c(vw) - D, 0) / c(v) + D * N(v) / c(v) * (c(w) + 1) / (N + V + 1), where N(v) counts the distinct words after v;
-a v that training didn't have leaves the unigram. The fractions are quantised, so the trie's score can differ from the exact
-one by half a step in log10 per token at most. A step is 1/254 of what the shard's probabilities can span: seven decades, or
-log10(c / (1 - D)) for the largest context count c if that is more. It is kept in the shard and sent with its answers.
+P(w | v) = q(vw) + b(v) * (c(w) + 1) / (N + V + 1), where q(vw) is max(c(vw) - D, 0) / c(v) rounded down to a code, and b(v) is
+one minus the sum of all q(vx), rounded down, too: unquantised it is D * N(v) / c(v), N(v) being the distinct words after v. So the
+probabilities of a context sum to one but for the rounding of b(v), and never to more. A v that training didn't have leaves the
+unigram. A step of the codes is 1/65534 of what the shard's probabilities can span: seven decades, or log10(c / (1 - D)) for the
+largest context count c if that is more. It is kept in the shard and sent with its answers.
 
 Defined cases: a null or empty text is its end token alone; texts of any length are scored whole; repeated rows
 count and are scored as often as they come; a null key is hashed as an empty text; without training rows every
-token has probability 1 / (0 + 0 + 1); an empty table gives an empty result; only the columns in `carry` are taken along.
+token has probability 1 / (0 + 0 + 1); an empty table gives an empty result; only the columns in `carry` are taken along, and one
+with an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -35,24 +37,25 @@ from vigil.llm.hashing import mix
 from vigil.llm.packs import answer, by_bucket, finish, ipc, join_bytes, put, rescatter, scatter, small, split_bytes, take, unipc
 from vigil.llm.shared import buckets
 
-DISCOUNT, STEP = 0.75, 7 / 254
+DISCOUNT, CODES = 0.75, 65534
 #: The end token has a space in it, so no word equals it.
 END = b" "
+OUT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def step_of(most: int) -> float:
-    """The step for contexts of up to so many training tokens, whose least probability is (1 - D) / most."""
-    return max(STEP, np.log10(max(most, 1) / (1 - DISCOUNT)) / 254)
+    """The step in log10 for contexts of up to so many training tokens, whose least probability is (1 - D) / most."""
+    return max(7.0, float(np.log10(max(most, 1) / (1 - DISCOUNT)))) / CODES
 
 
-def code(p: np.ndarray, step: float = STEP) -> np.ndarray:
-    """Probabilities as 1 to 255, evenly over 254 steps."""
-    return (1 + np.clip(np.rint(-np.log10(p) / step), 0, 254)).astype(np.uint8)
+def code(p: np.ndarray, step: float) -> np.ndarray:
+    """Probabilities as 1 to CODES + 1, rounded down; those under the span get the last code."""
+    return (1 + np.clip(np.ceil(-np.log10(p) / step), 0, CODES)).astype(np.uint16)
 
 
 def value(codes: np.ndarray, step: float) -> np.ndarray:
     """The probabilities of codes; 0 for code 0."""
-    return np.r_[0.0, 10.0 ** (-step * np.arange(255))][codes]
+    return np.where(codes == 0, 0.0, 10.0 ** (-step * (codes.astype(np.float64) - 1)))
 
 
 class _Numbers(dict):
@@ -72,7 +75,7 @@ def _emit_words(n_buckets: int):
                 counts.append(len(found))
                 parts.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
         stream, counts = np.concatenate(parts), np.array(counts, np.int64)
-        held = rows.column("__held").to_numpy().astype(bool)
+        held = rows.column("held").to_numpy().astype(bool)
         words = list(numbers)
         order = np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.uint32)
@@ -82,7 +85,7 @@ def _emit_words(n_buckets: int):
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), np.int64, len(words))
         at, ends = by_bucket(bucket, n_buckets)
         packs = {b: put(*join_bytes([words[i] for i in at[ends[b] : ends[b + 1]]]), small(train[at[ends[b] : ends[b + 1]]])) for b in range(n_buckets)}
-        carried = ipc(rows.drop_columns(["__held"]).combine_chunks().to_batches()[0]) if rows.num_columns > 1 else b""
+        carried = ipc(rows.drop_columns(["held"]).combine_chunks().to_batches()[0]) if rows.num_columns > 1 else b""
         return put(small(counts), small(stream), small(bucket), held.astype(np.uint8), carried), packs
 
     return emit
@@ -170,7 +173,10 @@ def train(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
     after = np.diff(np.r_[start, len(v)])
     seen = np.add.reduceat(c, start) if len(v) else c
     step = step_of(int(seen.max()) if len(seen) else 0)
-    return BigramTrie.build(v, w, code((c - DISCOUNT) / np.repeat(seen, after), step), code(DISCOUNT * after / np.maximum(seen, 1), step), step)
+    known = code((c - DISCOUNT) / np.repeat(seen, after), step)
+    left = 1 - np.add.reduceat(value(known, step), start) if len(v) else np.zeros(0)
+    # A sum of rounded terms can be off in the last digits; the unquantised weight is a lower bound of what is left.
+    return BigramTrie.build(v, w, known, code(np.maximum(left - 1e-12, 0.5 * DISCOUNT * after / np.maximum(seen, 1)), step), step)
 
 
 def _query(_: list[int], packs: list[bytes]) -> list[bytes]:
@@ -180,9 +186,8 @@ def _query(_: list[int], packs: list[bytes]) -> list[bytes]:
 
 
 def _end(payload: bytes | None, answers: dict[int, bytes], names: list[str], n_buckets: int) -> pd.DataFrame:
-    columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     if payload is None:
-        return pd.DataFrame({n: pd.Series(dtype="object") for n in [*names, *columns]})
+        return pd.DataFrame({n: pd.Series(dtype="object") for n in [*names, *OUT]})
     payload, total, number, (tokens, distinct) = take(payload)
     counts, stream, _, _, carried = take(payload)
     block = _Block(counts, stream, number.astype(np.uint64), n_buckets)
@@ -206,14 +211,17 @@ def _end(payload: bytes | None, answers: dict[int, bytes], names: list[str], n_b
 
 def score(df: DataFrame, held_out: Column, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns, n_tokens, n_known, train_tokens, base_score and score; rows with held_out are scored only."""
-    p = buckets(df.sparkSession)
-    rows = df.select(*[F.col(f"`{c}`") for c in carry], F.coalesce(held_out, F.lit(False)).cast("int").alias("__held"), F.col(f"`{text}`").cast("string").alias("__text"))
-    x = scatter(rows, "__text", _emit_words(p))
+    p, names = buckets(df.sparkSession), [c for c in carry if c not in OUT]
+    # Carried columns travel under numbers, so that none can clash.
+    held = [f"c{i}" for i in range(len(names))]
+    kept = [F.col(f"`{c}`").alias(h) for c, h in zip(names, held)]
+    rows = df.select(*kept, F.coalesce(held_out, F.lit(False)).cast("int").alias("held"), F.col(f"`{text}`").cast("string").alias("text"))
+    x = scatter(rows, "text", _emit_words(p))
     y = rescatter(x, answer(x, _count_words), _emit_bigrams(p))
-    names = list(carry)
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carry)
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in held)
     schema = f"{kinds}n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return finish(y, answer(y, _query), lambda d, a: _end(d, a, names, p), schema)
+    out = finish(y, answer(y, _query), lambda d, a: _end(d, a, held, p), schema)
+    return out.select(*[F.col(h).alias(n) for h, n in zip(held, names)], *OUT)
 
 
 def fold(key: str, n: int) -> Column:
