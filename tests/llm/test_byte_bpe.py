@@ -22,7 +22,20 @@ def own(text):
 @given(st.one_of(st.text(max_size=60), st.text("abcé É'stvel 019!?\n\t .\x1c\x85\xa0", max_size=60)))
 def test_random_texts_equal_the_library(text):
     assert own(text) == LIB.encode_ordinary(text)
-    assert op.decode_ids(op.np.array(own(text), "<u4").tobytes(), PATH) == text.encode()
+
+
+def test_decoding_joins_the_token_table_and_keeps_order(spark, monkeypatch):
+    texts = ["", "a b", "the " * 5000, "é" * 300, "x"] * 7
+    rows = [(i, bytearray(op.np.array(LIB.encode_ordinary(t), "<u4").tobytes()), i) for i, t in enumerate(texts)] + [(99, None, 99)]
+    df = spark.createDataFrame(rows, "doc int, ids binary, row int").repartition(3)
+    for chunk, most in ((200_000, 10**9), (100, 10**9), (1, 0)):
+        monkeypatch.setattr(op, "CHUNK", chunk)
+        monkeypatch.setattr(op, "TABLE_BYTES", most)
+        out = op.decode(df, PATH)
+        assert out.columns == ["doc", "ids", "row", "decoded"]
+        assert {r.doc: bytes(r.decoded).decode() for r in out.collect()} == dict(enumerate(texts)) | {99: ""}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (most > 0)
 
 
 def test_query_equals_the_library_and_round_trips(spark, sf):
@@ -37,7 +50,10 @@ def test_query_equals_the_library_and_round_trips(spark, sf):
 
 def test_nulls_repeats_clashes_and_empty_tables(spark):
     rows = [(1, None, "x"), (1, "a b", "y"), (1, "a b", "y"), (None, "", "z"), (2, "the " * 300_000, "long")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, ids string").coalesce(1)
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string").coalesce(1).selectExpr("*", "1 AS n_tokens", "2 AS __text", "3 AS c0", "4 AS decoded")
+    more = op.decode(op.encode(df, PATH, public_tokenizers.PATTERN, carry=("doc_id", "n_tokens", "__text", "c0", "decoded")), PATH)
+    assert more.columns == ["doc_id", "__text", "c0", "decoded", "n_tokens", "ids"] or set(more.columns) == {"doc_id", "__text", "c0", "decoded", "n_tokens", "ids"}
+    assert {r["__text"] for r in more.collect()} == {2}
     got = sorted((r.doc_id or 0, r.n_tokens, len(r.ids)) for r in op.encode(df, PATH, public_tokenizers.PATTERN).collect())
     n = len(LIB.encode_ordinary("the " * 300_000))
     assert got == [(0, 0, 0), (1, 0, 0), (1, 2, 8), (1, 2, 8), (2, n, 4 * n)]

@@ -147,16 +147,33 @@ def scatter(df: DataFrame, text: str, emit: Callable[[pa.Table, list], tuple[byt
     return df.mapInArrow(run, SCHEMA)
 
 
+def _rows(key: int, srcs: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(srcs, pa.int64()), pa.array([key] * len(srcs), pa.int64()), pa.array(data, pa.binary())], names=["key", "src", "data"])
+
+
 def answer(x: DataFrame, reduce: Callable[[list[int], list[bytes]], list[bytes]]) -> DataFrame:
-    """For every pack of x its answer, under the block's key: key (block), src (bucket), data."""
+    """For every pack of x its answer, under the block's key: key (block), src (bucket), data. A bucket's packs are taken in the order of blocks, so a repeated task gives the same."""
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        if key[0] < 0:
-            return pd.DataFrame({"key": pd.Series(dtype="int64"), "src": pd.Series(dtype="int64"), "data": pd.Series(dtype="object")})
-        group = group.sort_values("src", ignore_index=True)
-        return pd.DataFrame({"key": group["src"], "src": key[0], "data": reduce(group["src"].tolist(), group["data"].tolist())})
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = key[0].as_py()
+        if bucket >= 0:  # else a payload, which is left where it is
+            pairs = sorted((s, d) for b in batches for s, d in zip(b.column("src").to_pylist(), b.column("data").to_pylist()))
+            yield _rows(bucket, [s for s, _ in pairs], reduce([s for s, _ in pairs], [d for _, d in pairs]))
+
+    return x.groupBy("key").applyInArrow(run, SCHEMA)
+
+
+def answer_each(x: DataFrame, reduce: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
+    """As answer(), for answers that don't depend on other packs: reduce() gives a function for one bucket, which sees one pack at a time."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = key[0].as_py()
+        if bucket >= 0:
+            one = reduce()
+            for b in batches:
+                yield _rows(bucket, b.column("src").to_pylist(), [one(d.as_py()) for d in b.column("data")])
 
-    return x.groupBy("key").applyInPandas(run, SCHEMA)
+    return x.groupBy("key").applyInArrow(run, SCHEMA)
 
 
 def rescatter(x: DataFrame, answers: DataFrame, emit: Callable[[bytes, dict[int, bytes]], tuple[bytes, Packs]]) -> DataFrame:
