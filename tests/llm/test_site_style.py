@@ -33,8 +33,10 @@ SITE = "<body><div class=x><p>same on every page</p></div><div class=main><p>{}<
 
 def test_tree_removes_what_a_site_repeats(spark):
     rows = [(i, "http://U@Site.example:80/p", SITE.format(f"story number {i} is its own")) for i in range(40)] + [(99, "http://lone.example/", SITE.format("lone")), (98, None, None), (97, "x", "")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int")
-    got = {r.page_id: r.text for r in op.extract(df).collect()}
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "page_id long, url string, html string, text int, host int, low int, __host int, doc int")
+    out = op.extract(df)
+    assert set(out.columns) == set(df.columns) and {(r.host, r.low, r["__host"], r.doc) for r in out.collect()} == {(2, 3, 4, 5)}
+    got = {r.page_id: r.text for r in out.collect()}
     assert all(got[i] == f"story number {i} is its own" for i in range(40))
     assert got[99] == "same on every page lone all alike" and got[98] == got[97] == ""
 
@@ -65,7 +67,7 @@ def test_articles_in_noise_or_for_comments_are_not_the_page():
 
 
 def test_importance_by_hand(spark):
-    pages = spark.createDataFrame([("a", f"<p>{t}</p>") for t in ("x", "x", "y", "z")], "__host string, __html string")
+    pages = spark.createDataFrame([("a", f"<p>{t}</p>") for t in ("x", "x", "y", "z")], "host string, html string")
     leaf = [r for r in op.importance(pages).collect() if r.presentation == 0.0 and r.content is not None]
     assert [(r.m, round(r.content, 6)) for r in leaf] == [(4, round(1 - (0.5 + 0 + 0) / 3, 6))]
 
@@ -80,3 +82,73 @@ def test_copies_of_an_article_keep_it(spark):
 def test_very_long_and_deep_pages():
     assert op.blocks("<div>" * 50_000 + "x" + "</div>" * 50_000) == ["x"]
     assert len(op.blocks("<p>w</p>" * 100_000)) == 100_000
+
+
+def test_repeated_rows_with_one_page_id(spark):
+    df = spark.createDataFrame([(7, "http://a.example/", "<p>x</p>"), (7, "http://a.example/", "<p>x</p>"), (7, "http://a.example/", "<p>y</p>")], "page_id long, url string, html string")
+    assert sorted(r.text for r in op.extract(df).collect()) == ["x", "x", "y"]
+
+
+def pool(n):
+    """Pages of one host whose strip and box texts come from a pool of seven; notes are each page's own."""
+    page = "<body><div class=strip><ul><li>strip {1}</li></ul></div><article><p>story {0}</p><div class=box>box {1}</div><div class=related>note {0}</div><div class=legal>legal {1}</div></article></body>"
+    return [("http://pool.example/", page.format(i, i % 7), f"story {i} note {i}") for i in range(n)]
+
+
+def test_the_tree_decides_against_names_and_pools_of_templates(spark):
+    rows = pool(60)
+    df = spark.createDataFrame(rows, "url string, html string, want string")
+    assert [(r.text, r.want) for r in op.extract(df).collect() if r.text != r.want] == []
+    # Without the tree the texts are others: the box stays and the note goes.
+    assert " ".join(op.blocks(rows[8][1])) == "story 8 box 1"
+    few = spark.createDataFrame(rows[:2], "url string, html string, want string")
+    assert {r.text for r in op.extract(few).collect()} == {"story 0 box 0", "story 1 box 1"}
+
+
+def test_importance_equals_a_style_tree_by_brute_force(spark):
+    from collections import Counter, defaultdict
+    from html.parser import HTMLParser
+    from math import log
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.nodes = [()], defaultdict(lambda: ([], []))  # path -> child styles, texts
+            self.nodes[()] = ([], [])
+
+        def handle_starttag(self, tag, attrs):
+            style = ".".join([tag, *(v for k, v in attrs if k in ("class", "id"))])
+            self.nodes[self.stack[-1]][0].append(style)
+            self.stack.append((*self.stack[-1], style))
+            self.nodes[self.stack[-1]]
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            self.nodes[self.stack[-1]][1].append(data)
+
+    import random
+
+    rng = random.Random(4)
+    pages = []
+    for i in range(9):
+        pages.append(f"<body><div class='a'>top {rng.randrange(3)}</div><div class='b'><p>p {i}</p></div>{'<ul><li>x</li></ul>' if i % 2 else ''}<section>{rng.choice('uvw')}</section></body>")
+    presented, texts = defaultdict(Counter), defaultdict(Counter)
+    for page in pages:
+        t = Tree()
+        t.feed(page)
+        for path, (styles, parts) in t.nodes.items():
+            presented[path][tuple(dict.fromkeys(styles))] += 1
+            if "".join(parts).strip():
+                texts[path]["".join(parts)] += 1
+    want = []
+    for path, seen in presented.items():
+        m = sum(seen.values())
+        entropy = -sum(k / m * log(k / m, m) for k in seen.values())
+        content = 1 - sum(log(k, m) for k in texts[path].values()) / len(texts[path]) if texts[path] else None
+        want.append((m, round(entropy, 9), None if content is None else round(content, 9)))
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
+    got = [(r.m, round(r.presentation, 9), None if r.content is None else round(r.content, 9)) for r in op.importance(df).collect()]
+    key = lambda x: str(x)
+    assert sorted((tuple(0.0 if v == 0 else v for v in x) for x in got), key=key) == sorted((tuple(0.0 if v == 0 else v for v in x) for x in want), key=key)

@@ -6,13 +6,18 @@ its presentations (the sequences of child styles) spread over those pages, and h
 block) spreads. Presentation importance is the entropy of the presentations to the base of the number of pages;
 content importance is one minus the mean entropy of the features: text that stands on all pages alike has entropy 1
 and importance 0, text of a single page entropy 0 and importance 1. A node's importance is the larger of
-the two for inner nodes and the content's for leaves. The text that stands directly in a node of low importance is removed
-from each page; what stands in nodes below it is judged by those nodes, so a branch goes only if all of its nodes are low.
-Inline elements without class or id belong to the text around them. Also removed are branches whose tag or class says that they are menus, notices, adverts, forms or the like, which also holds for hosts
-with a single page, where there is nothing to compare. If a page has an article or main element outside such branches,
-its text is what is inside; articles named as comments, replies or adverts are such branches themselves. The tree judges
-texts inside articles, too. Pages of a host with the same text before the tree is applied count as one, so copies
-don't remove each other, and it removes texts of nodes that stand on at least MIN_PAGES different pages.
+the two for inner nodes and the content's for leaves. It is low if it is under LOW on MIN_PAGES different pages or more, or if, on
+a host of MANY different pages or more, the node's texts stand on REPEATED pages each or more in the geometric mean. The text that
+stands directly in a node of low importance is removed from each page; what stands in nodes below it is judged by those
+nodes, so a branch goes only if all of its nodes are low. Inline elements without class or id belong to the text around them.
+
+Tags and names are the prior for what no entropy can tell, as comments and adverts differ from page to page. Tags of menus,
+footers, asides and forms, and names of adverts, comments, consent and navigation remove a branch. Weak names (notice, side, related,
+meta and the like) remove it unless the tree overrules them: on a host of MANY pages or more, a branch whose whole text
+stands on less than OVERRULED pages in the geometric mean is content and stays. If a page has an article or main element outside
+removed branches, its text is what is inside, and there the tree judges as elsewhere; articles named as comments, replies or adverts
+are removed branches themselves. Pages of a host with the same text before the tree is applied count as one, so copies
+don't remove each other.
 
 Each page's features are packed into one value, and one page of each (host, text) stays, combined before the shuffle.
 The tree is then aggregated with map-side partial sums per (host, path, feature), so a host with a third of all
@@ -30,6 +35,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from math import log2
 
 import numpy as np
 import pandas as pd
@@ -37,9 +43,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import written
+from vigil.llm.shared import Work
 
-LOW, MIN_PAGES = 0.2, 3
+LOW, MIN_PAGES, MANY, REPEATED, OVERRULED = 0.2, 3, 20, 2.0, 1.1
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")
 _NO_TEXT = frozenset(("script", "style", "noscript", "template", "iframe", "head", "title", "svg", "canvas", "object", "math"))
@@ -53,11 +59,13 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _LIMITS = frozenset("article body div section main ul ol table dl select td th nav aside header footer form".split())
 _ENDS_P = _BLOCK - {"br", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "body", "html"}
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|subscription"
-    r"|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|comments?|disqus"
-    r"|replies|respond|login|signup|search|pagination|pager|copyright|legal|disclaimer|skip|tags?|byline|meta)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|subscription"
+    r"|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|topbar|toolbar|share|sharing|social|comments?|disqus"
+    r"|replies|respond|login|signup|search|pagination|pager|copyright)(?:$|[\s_-])",
     re.I,
 )
+#: Names that content has, too, now and then.
+_WEAK = re.compile(r"(?:^|[\s_-])(?:notices?|alert|side|widget\w*|foot|header|masthead|related|recommend\w*|legal|disclaimer|skip|tags?|byline|meta)(?:$|[\s_-])", re.I)
 #: Classes and ids of articles that aren't the page's.
 _LESSER = re.compile(
     r"(?:^|\s)(?:(?:user|blog|post)?[_-]?comments?(?:[_-]?(?:item|body|content|entry|text|list|wrapper|\d+))?|repl(?:y|ies)|responses?|disqus\w*|related(?:[_-](?:posts?|articles?|stor(?:y|ies)|items?))?"
@@ -70,10 +78,10 @@ _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "noise", "parent", "path", "style", "tag", "unit")
+    __slots__ = ("children", "noise", "parent", "path", "style", "tag", "unit", "weak")
 
-    def __init__(self, tag: str, style: str, parent: Node | None, noise: bool):
-        self.tag, self.style, self.parent, self.noise, self.children = tag, style, parent, noise, []
+    def __init__(self, tag: str, style: str, parent: Node | None, noise: bool, weak: bool = False):
+        self.tag, self.style, self.parent, self.noise, self.weak, self.children = tag, style, parent, noise, weak, []
         self.path = xxhash.xxh3_64_intdigest(style.encode("utf-8", "replace"), parent.path if parent else 0)
         # The node that its text is judged with.
         self.unit = self if parent is None or tag in _BLOCK or style != tag else parent.unit
@@ -110,7 +118,8 @@ def parse(html: str) -> Node:
         attrs = {a.lower(): x or y or z for a, x, y, z in _ATTR.findall(m[3])} if m[3] and "=" in m[3] else {}
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         role = attrs.get("role", "")
-        noise = tag in _NOISE or (names != "" and tag not in ("html", "body", "article", "main") and bool(_NAMES.search(names))) or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
+        named = names != "" and tag not in ("html", "body", "article", "main")
+        noise = tag in _NOISE or (named and bool(_NAMES.search(names))) or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
         if tag in ("article", "main") and names and _LESSER.search(names):
             noise = True
         if tag == "header" and not noise:
@@ -119,7 +128,7 @@ def parse(html: str) -> Node:
                 node = node.parent
             noise = node is root
         hidden = "hidden" in (m[3] or "").lower().split() or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        node = Node(tag, f"{tag}.{names}" if names else tag, here, noise or hidden)
+        node = Node(tag, f"{tag}.{names}" if names else tag, here, noise or hidden, named and bool(_WEAK.search(names)))
         here.children.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}[\s>/]", re.I).search(html, at)
@@ -133,7 +142,7 @@ def parse(html: str) -> Node:
 
 
 def _features(node: Node, out: list[tuple[int, int, int]]) -> None:
-    """Per style node of a page: (path, 0 for its presentation and 1 for a text, hash)."""
+    """Per style node of a page: (path, 0 for its presentation, 1 for a text, 2 for the whole text of a branch with a weak name; hash)."""
     stack: list = [(node, node)]
     texts: dict[Node, list[str]] = {}
     while stack:
@@ -143,6 +152,10 @@ def _features(node: Node, out: list[tuple[int, int, int]]) -> None:
             continue
         if x.noise or x.tag in _NO_TEXT:
             continue
+        if x.weak:
+            text = "\0".join(_blocks(x, everything=True))
+            if text:
+                out.append((x.path, 2, xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))))
         if x.unit is x:
             styles = [c.style for c in x.children if isinstance(c, Node)]
             out.append((x.path, 0, xxhash.xxh3_64_intdigest("\0".join(dict.fromkeys(styles)).encode("utf-8", "replace"))))
@@ -164,7 +177,7 @@ def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per page: host, digest of its text and packed features."""
     for f in frames:
         rows = []
-        for host, html in zip(f["__host"], f["__html"]):
+        for host, html in zip(f["host"], f["html"]):
             root, found = parse(html or ""), []
             _features(root, found)
             text = "\0".join(_blocks(root))
@@ -184,7 +197,7 @@ def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def importance(pages: DataFrame, once: bool = False) -> DataFrame:
-    """pages: __host, __html. Per host and path: m (pages; with once, those of different text), presentation and content importance.
+    """pages: host, html. Per host and path: m (pages; with once, those of different text), presentation and content importance.
 
     A feature stands on each of its k pages once, so its entropy to the base m is log(k) / log(m); presentations are
     one of several on each page, so theirs is that of their shares.
@@ -198,31 +211,39 @@ def importance(pages: DataFrame, once: bool = False) -> DataFrame:
         F.sum(F.when(F.col("kind") == 0, F.col("k"))).alias("m"),
         F.sum(F.when(F.col("kind") == 0, F.col("k") * F.log2(F.col("k").cast("double")))).alias("klogk"),
         F.avg(F.when(F.col("kind") == 1, F.log2(F.col("k").cast("double")))).alias("logk"),
+        F.avg(F.when(F.col("kind") == 2, F.log2(F.col("k").cast("double")))).alias("branch"),
     )
     log_m = F.log2(F.col("m").cast("double"))
     presentation = F.when(F.col("m") > 1, 1 - F.col("klogk") / (F.col("m") * log_m)).otherwise(F.lit(1.0))
     content = F.when(F.col("m") > 1, 1 - F.col("logk") / log_m).otherwise(F.lit(1.0))
-    return node.select("host", "path", "m", presentation.alias("presentation"), content.alias("content"))
+    return node.select("host", "path", "m", presentation.alias("presentation"), content.alias("content"), "logk", "branch")
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """pages: __host, __html. host, low: the style paths whose importance is low."""
+    """pages: host, html. host; low: the style paths whose importance is low; high: those with a weak name that are content."""
     tree = importance(pages, once=True)
     value = F.when(F.col("content").isNull(), F.lit(1.0)).otherwise(F.greatest("content", "presentation"))
-    low = tree.filter((F.col("m") >= MIN_PAGES) & (value < LOW))
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
+    low = ((F.col("m") >= MIN_PAGES) & (value < LOW)) | ((F.col("m") >= MANY) & (F.col("logk") >= log2(REPEATED)))
+    high = (F.col("m") >= MANY) & (F.col("branch") < log2(OVERRULED))
+    paths = lambda c: F.sort_array(F.collect_set(F.when(c, F.col("path"))))
+    return tree.filter(low | high).groupBy("host").agg(paths(low).alias("low"), paths(high).alias("high"))
 
 
-def blocks(html: str | None, low: frozenset[int] = frozenset()) -> list[str]:
-    """The texts of a page's blocks in page order, without the branches that are noise and the texts of nodes whose paths are in low."""
-    return _blocks(parse(html), low) if html else []
+def blocks(html: str | None, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset()) -> list[str]:
+    """The texts of a page's blocks in page order, without the branches that are noise, those of weak names not in high, and the texts of nodes whose paths are in low."""
+    return _blocks(parse(html), low, high) if html else []
 
 
-def _blocks(root: Node, low: frozenset[int] = frozenset()) -> list[str]:
-    articles, stack = False, [root]
+def _blocks(root: Node, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset(), everything: bool = False) -> list[str]:
+    """With everything, as if root were the page's article and no name were weak."""
+
+    def out_of(x: Node) -> bool:
+        return x.noise or x.tag in _NO_TEXT or (x.weak and not everything and _signed(x.path) not in high)
+
+    articles, stack = False, [] if everything else [root]
     while stack and not articles:
         x = stack.pop()
-        if not (x.noise or x.tag in _NO_TEXT):
+        if not out_of(x):
             articles = x.tag in ("article", "main")
             stack += [c for c in x.children if isinstance(c, Node)]
     out: list[str] = []
@@ -242,7 +263,7 @@ def _blocks(root: Node, low: frozenset[int] = frozenset()) -> list[str]:
         elif isinstance(x, str):
             if not gone and (inside or not articles):
                 part.append(x)
-        elif not (x.noise or x.tag in _NO_TEXT):
+        elif not out_of(x):
             inside = inside or x.tag in ("article", "main")
             gone = _signed(x.unit.path) in low
             if x.tag in _BLOCK:
@@ -255,22 +276,23 @@ def _blocks(root: Node, low: frozenset[int] = frozenset()) -> list[str]:
 
 def host_of(url: str):
     """The host in lower case, without user and port; null stays null."""
-    return F.lower(F.regexp_extract(F.col(url).cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.lower(F.regexp_extract(F.col(f"`{url}`").cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """pages with the main text."""
-    if {"__host", "__html", "host", "low"} & set(pages.columns):
-        raise ValueError("the input has a column __host, __html, host or low")
-    rows = pages.withColumns({"__host": F.coalesce(host_of(url), F.lit("")), "__html": F.col(html).cast("string")})
-    trees = written(style_trees(rows.select("__host", "__html")), "style-trees").withColumnRenamed("host", "__host")
+    # The page travels in a struct, so that none of its columns can clash.
+    doc = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("doc")
+    rows = pages.select(doc, F.coalesce(host_of(url), F.lit("")).alias("host"), F.col(f"`{html}`").cast("string").alias("html"))
+    trees = Work(pages.sparkSession, "pages").write(style_trees(rows.select("host", "html")), "style-trees")
 
     @F.pandas_udf("string")
-    def main_text(texts: pd.Series, lows: pd.Series) -> pd.Series:
-        return pd.Series([" ".join(blocks(t if isinstance(t, str) else None, frozenset(low) if low is not None else frozenset())) for t, low in zip(texts, lows)], dtype="object")
+    def main_text(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
+        of = lambda paths: frozenset(paths) if paths is not None else frozenset()
+        return pd.Series([" ".join(blocks(t if isinstance(t, str) else None, of(low), of(high))) for t, low, high in zip(texts, lows, highs)], dtype="object")
 
-    joined = rows.join(trees, "__host", "left")
-    return joined.withColumn(out, main_text("__html", "low")).drop("__host", "__html", "low")
+    joined = rows.join(trees, "host", "left")
+    return joined.select(*[F.col(f"doc.`{c}`").alias(c) for c in pages.columns if c != out], main_text("html", "low", "high").alias(out))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
