@@ -5,7 +5,8 @@ the weighted mean over its words; a linear softmax tells toxic from clean. Embed
 Adam on mini-batches. Misspellings that training never saw share n-grams with words that it did.
 
 Training reads a bounded sample: at most SAMPLE labelled rows of each class, those whose keys hash lowest, so it
-is the same in every run. Which share of all labelled rows is toxic is counted over all of them and corrects the
+is the same in every run, and of these the ones whose texts have at most TEXT_BYTES bytes; longer ones are scored whole but not
+learned from. So the driver holds 2 * SAMPLE * TEXT_BYTES bytes of text at most. Which share of all labelled rows is toxic is counted over all of them and corrects the
 bias. Once trained, each n-gram bucket comes down to one number, so scoring is one projection over the scan: a
 table of fixed size is sent to the executors, and a task remembers the numbers of words that it has met.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from vigil.llm.lm_score import fold
 from vigil.llm.packs import ragged
 
-SAMPLE, BUCKETS, DIM, GRAMS, EPOCHS, BATCH, RATE, SEED = 3000, 1 << 17, 8, (3, 4, 5), 8, 128, 0.06, 7
+SAMPLE, TEXT_BYTES, BUCKETS, DIM, GRAMS, EPOCHS, BATCH, RATE, SEED = 3000, 1 << 15, 1 << 17, 8, (3, 4, 5), 8, 128, 0.06, 7
 MEMO_WORDS = 300_000
 _EDGES = ".,;:!?\"'()[]{}<>*#%&$|-_"
 
@@ -70,6 +71,36 @@ class _Adam:
             x -= RATE * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
+@dataclass
+class Batch:
+    """Texts as pairs of a word and its share (word, share, doc), words as runs of n-gram buckets (gram, n of each word), and labels."""
+
+    word: np.ndarray
+    share: np.ndarray
+    doc: np.ndarray
+    gram: np.ndarray
+    n: np.ndarray
+    label: np.ndarray
+
+    def gradients(self, embedding: np.ndarray, softmax: np.ndarray, bias: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The mean cross-entropy, and its gradients by embedding, softmax and bias."""
+        n_docs, n_words, dims = len(self.label), len(self.n), range(embedding.shape[1])
+        of_word = np.repeat(np.arange(n_words), self.n)
+        vector = np.stack([np.bincount(of_word, embedding[self.gram, d], n_words) for d in dims], 1) / self.n[:, None]
+        mean = np.stack([np.bincount(self.doc, vector[self.word, d] * self.share, n_docs) for d in dims], 1)
+        z = mean @ softmax + bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        at = np.arange(n_docs), self.label
+        loss = float(-np.log(p[at]).mean())
+        p[at] -= 1
+        p /= n_docs
+        back = p @ softmax.T
+        on_word = np.stack([np.bincount(self.word, back[self.doc, d] * self.share, n_words) for d in dims], 1) / self.n[:, None]
+        on_gram = np.stack([np.bincount(self.gram, on_word[of_word, d], len(embedding)) for d in dims], 1)
+        return loss, [on_gram, mean.T @ p, p.sum(axis=0)]
+
+
 def fit(texts: list[str | None], labels: list[int], share: float) -> Model:
     """share: of toxic texts among all labelled ones."""
     y = np.array(labels, np.int64)
@@ -96,20 +127,8 @@ def fit(texts: list[str | None], labels: list[int], share: float) -> Model:
             docs = order[at : at + BATCH]
             size = sizes[docs]
             w, inverse = np.unique(ragged(ids, begin[docs], size), return_inverse=True)
-            share_of, doc = ragged(counts, begin[docs], size), np.repeat(np.arange(len(docs)), size)
-            g, n = ragged(flat, g_begin[w], n_grams[w]), n_grams[w]
-            of_word = np.repeat(np.arange(len(w)), n)
-            vector = np.stack([np.bincount(of_word, embedding[g, d], len(w)) for d in range(DIM)], 1) / n[:, None]
-            mean = np.stack([np.bincount(doc, vector[inverse, d] * share_of, len(docs)) for d in range(DIM)], 1)
-            z = mean @ softmax + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(docs)), y[docs]] -= 1
-            p /= len(docs)
-            back = p @ softmax.T
-            on_word = np.stack([np.bincount(inverse, back[doc, d] * share_of, len(w)) for d in range(DIM)], 1) / n[:, None]
-            on_gram = np.stack([np.bincount(g, on_word[of_word, d], BUCKETS) for d in range(DIM)], 1)
-            adam.step([embedding, softmax, bias], [on_gram, mean.T @ p, p.sum(axis=0)])
+            batch = Batch(inverse, ragged(counts, begin[docs], size), np.repeat(np.arange(len(docs)), size), ragged(flat, g_begin[w], n_grams[w]), n_grams[w], y[docs])
+            adam.step([embedding, softmax, bias], batch.gradients(embedding, softmax, bias)[1])
     sampled = y.mean()
     prior = np.log(share / (1 - share)) - np.log(sampled / (1 - sampled))
     return Model(embedding @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0] + prior))
@@ -146,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = usable.agg(F.avg("__label")).first()[0] or 0.0
     order = [F.xxhash64(F.col("__key").cast("string")), F.col("__key")]
     chosen = usable.filter("__label = 1").orderBy(*order).limit(SAMPLE).union(usable.filter("__label = 0").orderBy(*order).limit(SAMPLE))
-    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")
+    texts = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text")).filter(F.coalesce(F.octet_length("__text"), F.lit(0)) <= TEXT_BYTES)
+    texts = texts.join(F.broadcast(chosen), "__key")  # 2 * SAMPLE rows at most
     rows = texts.orderBy(*order, "__label", "__text").limit(2 * SAMPLE).collect()
     return fit([r["__text"] for r in rows], [r["__label"] for r in rows], share)
 
