@@ -39,6 +39,7 @@ class WordCounts(dict):
 
         self.ranks, special, self.suffix = load_word_bpe(path)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.marks = {t[:2] for t in special}  # a quick look ahead of the pattern
         self.pieces = regex.compile(PIECES)
         self.space = regex.compile(f"[{SPACE}]+")
         self.symbols = byte_symbols()
@@ -56,7 +57,7 @@ class WordCounts(dict):
     def text(self, text: str | None) -> int:
         if not text:
             return 0
-        if self.special and "<|" in text:
+        if self.special and any(m in text for m in self.marks):
             parts = self.special.split(text)
             return len(parts) - 1 + sum(map(self.section, parts))
         return self.section(text)
