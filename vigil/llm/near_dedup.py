@@ -10,10 +10,11 @@ agree in a register with probability equal to their weighted Jaccard similarity.
 Registers are banded, 21 bands of 6: a pair of similarity 0.8 shares a bucket with probability 0.998, one of 0.85 with
 0.9999. Pairs that share a bucket are candidates if their bag sizes and their register sketches (two bits of each register,
 so similarity 0.8 passes but for one pair in 100,000, and below 0.6 hardly any) allow the threshold; both are conditions of
-the join, so other pairs of a bucket are never rows. In a first round a bucket's texts are paired with the one of lowest random
-rank only; links are verified on the whole bags. Where a bucket then holds texts outside its leader's component, these
-are paired with all of the bucket's texts in other components. So a group of n copies that link to their leaders costs about
-n comparisons, and no candidate pair between two components is left out. Only texts with a candidate are fetched for verification. Equal
+the join, so other pairs of a bucket are never rows. In a first round a bucket's texts are paired with one of them only, its
+leader by a random rank that differs from bucket to bucket, so each text of a group meets up to 21 others; links are verified on the
+whole bags. Where a bucket then holds several components, the texts outside the most frequent one are paired with all of
+the bucket's texts in other components. So a group of n texts of which a fair part are links costs about 21 n comparisons,
+and no candidate pair between two components is left out. Only texts with a candidate are fetched for verification. Equal
 texts are one node from the start. Components of the links are the classes.
 
 Defined cases: equal texts share a class, null counting as empty; texts of one to four words have a single
@@ -171,7 +172,7 @@ def _classes(table: DataFrame, threshold: float, work: Work) -> DataFrame:
     texts = work.write(table.groupBy("digest").agg(F.min("n").alias("rep"), first.alias("first"), F.count("*").alias("copies"), *some), "texts")
     sketch = texts.select("rep", "size", "s0", "s1", "s2", "s3")
     banded = texts.select("rep", F.explode("bands").alias("h"))
-    rank = F.struct(F.xxhash64("rep").alias("rank"), F.col("rep").alias("lead"))
+    rank = F.struct(F.xxhash64("rep", "h").alias("rank"), F.col("rep").alias("lead"))
     lead = banded.groupBy("h").agg(F.min(rank).alias("least"), F.count("*").alias("n")).filter("n > 1").select("h", F.col("least.lead").alias("lead"))
     members = work.write(banded.join(lead.hint("merge"), "h"), "members")
     pairs = members.filter("rep <> lead").select("rep", "lead").distinct()
@@ -179,13 +180,13 @@ def _classes(table: DataFrame, threshold: float, work: Work) -> DataFrame:
     pairs = work.write(pairs.select(F.col("p.rep").alias("a"), F.col("p.lead").alias("b")), "pairs")
     links = _links(pairs, table, threshold, work)
     label = components(links, work)
-    # What a bucket holds besides its leader's component: paired with the bucket's texts in all other components.
+    # What a bucket holds besides its most frequent component: paired with the bucket's texts in all other components.
     label = label.select(F.col("node").alias("rep"), "label")
-    known = work.write(members.join(label, "rep", "left").select("h", "rep", F.coalesce("label", "rep").alias("label"), (F.col("rep") == F.col("lead")).alias("leads")), "known")
+    known = work.write(members.select("h", "rep").join(label, "rep", "left").select("h", "rep", F.coalesce("label", "rep").alias("label")), "known")
     work.drop(members)
-    heads = known.filter("leads").select("h", F.col("label").alias("main"))
-    apart = known.join(heads, "h").filter("label <> main").select("h").distinct()
-    mixed = work.write(known.join(apart, "h", "left_semi").join(heads, "h").join(sketch, "rep"), "mixed")
+    shares = known.groupBy("h", "label").agg(F.count("*").alias("n"))
+    main = shares.groupBy("h").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("h", F.col("most.label").alias("main"))
+    mixed = work.write(known.join(main, "h").join(sketch, "rep"), "mixed")
     x, y = mixed.filter("label <> main").alias("x"), mixed.alias("y")
     once = (F.col("y.label") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
     more = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & once & _close("x", "y", threshold))
