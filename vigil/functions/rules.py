@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 class Rule:
     pattern: str  # case-insensitive
     label: str
-    group: str = ""
+    group: str = ""  # a coarser class of the label
+    concepts: tuple[str, ...] = ()  # terms that the label stands for
 
 
 def _hits(c: Column, rule: Rule) -> Column:
@@ -39,6 +40,46 @@ def evidence(c: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def first_hit(c: Column, rules: list[Rule]) -> Column:
+    """label, group and phrase (the words matched) of the first rule that matches; null if none does."""
+    out = None
+    for r in rules:
+        group = F.lit(r.group or None).cast("string")
+        hit = F.struct(F.lit(r.label).alias("label"), group.alias("group"), F.regexp_extract(c, f"(?i){r.pattern}", 0).alias("phrase"))
+        out = F.when(_hits(c, r), hit) if out is None else out.when(_hits(c, r), hit)
+    return out
+
+
+def concepts(c: Column, rules: list[Rule]) -> Column:
+    """The concepts of all rules that match, in rule order, each once."""
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*[F.when(_hits(c, r), F.array(*map(F.lit, r.concepts))) for r in rules if r.concepts]))))
+
+
+def matches(c: Column, pattern: str) -> Column:
+    return F.coalesce(c.rlike(f"(?i){pattern}"), F.lit(False))
+
+
+def category_conflict(c: Column, original: Column, lexicon: dict[str, list[str]]) -> Column:
+    """Whether the text speaks for another category and not at all for the original one."""
+    padded = F.concat(F.lit(" "), F.lower(c), F.lit(" "))
+    inferred = keyword_category(c, lexicon)
+    own = F.lit(0)
+    for k, words in lexicon.items():
+        own = F.when(original == k, sum((F.contains(padded, F.lit(w)).cast("int") for w in words), F.lit(0))).otherwise(own)
+    return F.coalesce(inferred.isNotNull() & (inferred != original) & (own == 0), F.lit(False))
+
+
+def parse_answer(field: Column, answer: Column, choices: dict[str, str], tables: dict[str, list[Rule]]) -> Column:
+    """An answer to a clarifying question as a value of its field: a listed choice, else a rule's label, else 'no ...' for triggers; else null."""
+    a = F.trim(answer)
+    out = F.try_element_at(F.create_map(*[F.lit(x) for kv in choices.items() for x in kv]), F.lower(a))
+    by_rule = F.lit(None).cast("string")
+    for name, rules in tables.items():
+        by_rule = F.when(field == name, first_match(a, rules, None)).otherwise(by_rule)
+    nothing = F.when((field == "trigger") & F.lower(a).startswith("no"), F.lit("no recent change"))
+    return F.when(a != "", F.coalesce(out, by_rule, nothing))
+
+
 def keyword_category(c: Column, lexicon: dict[str, list[str]]) -> Column:
     """The category with the most keywords in ' text '; the first of equals; null if no keyword occurs."""
     padded = F.concat(F.lit(" "), F.lower(c), F.lit(" "))
@@ -74,11 +115,18 @@ def fingerprint(c: Column, tables: dict[str, list[Rule]], fallback: dict[str, Co
     return F.struct(*fields)
 
 
-def safety(c: Column, destructive: str, disruptive: str, sources: Column) -> Column:
-    """allowed and a class: destructive actions need two independent sources, and nothing is allowed on none."""
-    kind = F.when(c.rlike(f"(?i){destructive}"), "destructive").when(c.rlike(f"(?i){disruptive}"), "disruptive").otherwise("routine")
-    allowed = (sources > 0) & ((kind != "destructive") | (sources >= 2))
-    return F.struct(kind.alias("kind"), allowed.alias("allowed"))
+def safety(c: Column, destructive: str, disruptive: str, sources: Column, needed: int = 2) -> Column:
+    """kind, allowed, confirm and notes: destructive actions need several independent sources, and nothing is allowed on none."""
+    bad, rough = matches(c, destructive), matches(c, disruptive)
+    kind = F.when(bad, "destructive").when(rough, "disruptive").otherwise("routine")
+    allowed = (sources > 0) & (~bad | (sources >= needed))
+    notes = F.array_compact(
+        F.array(
+            F.when(bad & (sources < needed), "too few sources for a destructive action"), F.when(bad & (sources >= needed), "confirm and back up before a destructive action"),
+            F.when(rough, "agree on a window for a disruptive action"), F.when(sources == 0, "no historical grounding"),
+        )
+    )
+    return F.struct(kind.alias("kind"), allowed.alias("allowed"), (bad | rough).alias("confirm"), notes.alias("notes"))
 
 
 def specificity(known_fields: Column, n_tokens: Column) -> Column:

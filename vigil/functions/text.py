@@ -67,3 +67,57 @@ def mask_codes(c: Column) -> Column:
 
 def citations(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\[([A-Z]{2,4}-?\d{4,7})\]"), F.lit(1))
+
+
+#: Where a resolution note is cut into clauses; the last part takes the stop at the end.
+_CLAUSES = r"(?<=[.;:])\s+|,\s+(?:and\s+)?|\s+by\s+|\s+(?:and|then)\s+(?=\w+(?:ed|ing)\b)|\.\s*$"
+_OBSERVED = r"(?<=[.;])\s+|,\s+(?:and\s+)?|;\s*"
+
+
+def _stripped(parts: Column, edge: str) -> Column:
+    cut = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, f"^[{edge}]+", ""), f"[{edge}]+$", ""))
+    return F.filter(cut, lambda p: p != "")
+
+
+def action_clauses(note: Column, action: str) -> Column:
+    """The clauses of a note that say what was done; clauses of causes are dropped."""
+    parts = _stripped(F.split(F.coalesce(note, F.lit("")), _CLAUSES), " .;,:")
+    return F.filter(parts, lambda p: p.rlike(f"(?i){action}"))
+
+
+def action_summary(note: Column, action: str, size: int = 160) -> Column:
+    """The first action clause, capitalised; without one the first sentence; cut to size."""
+    acts = action_clauses(note, action)
+    first = F.get(acts, 0)
+    sentence = F.get(F.filter(F.transform(F.split(F.replace(note, F.lit(";"), F.lit(".")), r"\."), F.trim), lambda s: s != ""), 0)
+    return F.substring(F.coalesce(F.concat(F.upper(F.substring(first, 1, 1)), F.substring(first, 2, size)), sentence, note), 1, size)
+
+
+def observation(note: Column, observe: str) -> Column:
+    """The last clause that says what was seen afterwards, capitalised; null if none does."""
+    parts = _stripped(F.split(F.coalesce(note, F.lit("")), _OBSERVED), " .;,")
+    last = F.try_element_at(F.filter(parts, lambda p: p.rlike(f"(?i){observe}")), F.lit(-1))
+    return F.concat(F.upper(F.substring(last, 1, 1)), F.substring(last, 2, 1_000_000))
+
+
+def mask_entities(c: Column, ci_name: Column | None, services: list[str]) -> Column:
+    """The configuration item's name becomes 'the system', names of services, the longest first, 'the service'."""
+    import re
+
+    c = F.coalesce(c, F.lit(""))
+    if ci_name is not None:
+        c = F.when(ci_name.isNotNull() & (ci_name != ""), F.replace(c, ci_name, F.lit("the system"))).otherwise(c)
+    if services:
+        c = F.regexp_replace(c, "(?i)(?:" + "|".join(re.escape(s) for s in sorted(services, key=lambda s: (-len(s), s))) + ")", "the service")
+    return c
+
+
+def paraphrase(c: Column, replacements: list[tuple[str, str]], style: Column, words: int = 10) -> Column:
+    """The first sentence of a text with codes masked; lay and vague styles have words replaced in order, vague ones are cut to some words."""
+    first = F.get(F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\b[A-Z]{2,4}\d{5,6}\b", "the server"), r"(?<=[.!?])\s+"), F.trim), lambda s: s != ""), 0)
+    plain = F.coalesce(first, F.lit(""))
+    lay = plain
+    for pattern, word in replacements:
+        lay = F.regexp_replace(lay, f"(?i){pattern}", word)
+    short = F.array_join(F.slice(F.filter(F.split(lay, r"\s+"), lambda w: w != ""), 1, words), " ")
+    return F.when(style == "vague", short).when(style == "lay", lay).otherwise(plain)

@@ -4,38 +4,99 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.math import dot
 
 
+#: Rows of a block of vectors. A task holds two blocks; the number of blocks grows with the rows.
+BLOCK = 2048
+
+
 def duplicate_groups(df: DataFrame, key: str, content: Column) -> DataFrame:
-    """key and dup_group, the smallest key with the same content. Contents are hashed before they are shuffled."""
-    rows = df.select(F.col(key).alias("id"), F.sha2(content, 256).alias("h"))
+    """key and dup_group, the smallest key with the same content. Contents are hashed once, before anything is shuffled."""
+    checkpoints(df.sparkSession)
+    rows = df.select(F.col(key).alias("id"), F.sha2(content, 256).alias("h")).checkpoint()
     first = rows.groupBy("h").agg(F.min("id").alias("dup_group"))
     return rows.join(first, "h").select(F.col("id").alias(key), "dup_group")
 
 
+def _cells(rows: DataFrame, both_ways: bool) -> DataFrame:
+    """rows with cell (a pair of blocks) and side (0, 1 or, in a diagonal cell, 2). Each pair of rows meets in one cell, or in one for each order."""
+    blocks = max(1, -(-rows.count() // BLOCK))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    other = F.sequence(F.lit(0), F.lit(blocks - 1))
+    diagonal = F.struct(F.col("blk").alias("x"), F.col("blk").alias("y"), F.lit(2).alias("side"))
+    if both_ways:
+        one = F.transform(F.filter(other, lambda o: o != F.col("blk")), lambda o: F.struct(F.col("blk").alias("x"), o.alias("y"), F.lit(0).alias("side")))
+        two = F.transform(F.filter(other, lambda o: o != F.col("blk")), lambda o: F.struct(o.alias("x"), F.col("blk").alias("y"), F.lit(1).alias("side")))
+        every = F.concat(one, two, F.array(diagonal))
+    else:
+        place = lambda o: F.struct(F.least("blk", o).alias("x"), F.greatest("blk", o).alias("y"), (F.col("blk") > o).cast("int").alias("side"))
+        every = F.concat(F.transform(F.filter(other, lambda o: o != F.col("blk")), place), F.array(diagonal))
+    return rows.withColumn("c", F.explode(every)).select(*[c for c in rows.columns if c != "blk"], (F.col("c.x") * blocks + F.col("c.y")).alias("cell"), "c.side")
+
+
+def _matrix(column) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Pairs a < b of unit vectors with inner product at or above the threshold; exact.
 
-    Vectors are cut into blocks by a hash of their key, and each pair of blocks is one task's work, so no task sees
-    more than two blocks; the number of comparisons is quadratic, as any exact answer at low thresholds.
+    Vectors are cut into blocks by a hash of their key; a pair of blocks is one task's work, a matrix product in one Arrow batch. The
+    number of blocks grows with the rows, so no task sees more than two blocks of about BLOCK rows; the number of comparisons is
+    quadratic, as any exact answer at low thresholds.
     """
-    blocks = 8
-    v = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).alias("blk"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("blk", o).alias("x"), F.greatest("blk", o).alias("y")))
-    dealt = v.select("id", "v", "blk", F.explode(every).alias("cell"))
-    a, b = dealt.toDF("a", "va", "ka", "cell"), dealt.toDF("b", "vb", "kb", "cell")
-    # Rows of one block share all its cells; they meet in the diagonal one.
-    return a.join(b, "cell").filter("a < b AND (ka <> kb OR cell.x = cell.y)").select("a", "b", dot(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") >= threshold)
+    rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        left, right = f[f["side"] != 1], f[f["side"] != 0]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        scores = _matrix(left["v"]) @ _matrix(right["v"]).T
+        i, j = np.nonzero(scores >= threshold)
+        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        keep = a < b if (f["side"] == 2).any() else a != b
+        a, b, s = a[keep], b[keep], scores[i, j][keep]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": s})
+
+    return _cells(rows, False).groupBy("cell").applyInPandas(run, "a long, b long, score double")
+
+
+def nearest(df: DataFrame, k: int, key: str, vector: str, group: Column | None = None, usable: Column | None = None) -> DataFrame:
+    """a, b, score, rank: for every row the k usable rows of other groups with the largest inner products; ties go to the smaller key. Exact, by blocks."""
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), (group if group is not None else F.col(key)).cast("string").alias("g"), F.coalesce(usable, F.lit(False)).alias("u") if usable is not None else F.lit(True).alias("u"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        left, right = f[f["side"] != 1], f[(f["side"] != 0) & f["u"]].sort_values("id")
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        scores = _matrix(left["v"]) @ _matrix(right["v"]).T
+        scores[left["g"].to_numpy()[:, None] == right["g"].to_numpy()[None, :]] = -np.inf
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        top = np.take_along_axis(scores, order, 1)
+        a, b, s = np.repeat(left["id"].to_numpy(), order.shape[1]), right["id"].to_numpy()[order.reshape(-1)], top.reshape(-1)
+        there = np.isfinite(s)
+        return pd.DataFrame({"a": a[there], "b": b[there], "score": s[there]})
+
+    found = _cells(rows.filter(F.col("v").isNotNull()), True).groupBy("cell").applyInPandas(run, "a long, b long, score double")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def checkpoints(spark: SparkSession) -> None:
     """Sees that the session has a checkpoint folder: the shared one, or a temporary one in a local session."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp()
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def component_roots(nodes: DataFrame, links: DataFrame, key: str) -> DataFrame:
@@ -53,8 +114,8 @@ def component_roots(nodes: DataFrame, links: DataFrame, key: str) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct().checkpoint()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = small.filter("u <> v").distinct().checkpoint()
         # The rounds are over when every node hangs on one other and nothing has moved.

@@ -73,3 +73,14 @@ def bad_provenance(df: DataFrame) -> DataFrame:
         if n.endswith("_source"):
             bad = bad | ~F.col(n).isin(*PROVENANCE)
     return df.filter(bad)
+
+
+def corrected_category(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
+    """df with title, description and category: the category is replaced where the text speaks for another one and not at all for it."""
+    from vigil.functions import rules
+
+    said = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("description", F.lit("")))
+    conflict, original = rules.category_conflict(said, F.col("category"), lexicon), F.col("category")
+    df = df.withColumns({"category_conflict": conflict, "__inferred": rules.keyword_category(said, lexicon), "category_original": original})
+    df = df.withColumn("category", F.when(F.col("category_conflict"), F.col("__inferred")).otherwise(original)).drop("__inferred")
+    return df.withColumn("category_source", F.when(F.col("category_conflict"), "derived").otherwise("original"))

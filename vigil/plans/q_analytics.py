@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vigil.functions import clean, text
+from vigil.functions import text
 from vigil.functions.math import dcg, dot, precision_at, reciprocal_rank
 from vigil.operators import groups, retrieval, timeline
 from vigil.plans.catalog import query
@@ -145,14 +145,6 @@ def burst_links(spark, sf):
     return timeline.bursts(table(spark, sf, "events"), "event_id", "event_type", "ts")
 
 
-@query("resolution_detail", "SELECT doc_id, CASE WHEN n = '' THEN 0 ELSE round(0.4 * least(1.0, len(string_split(n, ' ')) / 15), 6) END AS length_score, regexp_matches(coalesce(text, ''), '(?i)\\b(restart|replac|install|fixed|correct|resolved)') AS has_action FROM (SELECT doc_id, text, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) AS n FROM documents)")
-def resolution_detail(spark, sf):
-    c = F.coalesce("text", F.lit(""))
-    n = text.normalize_text(c)
-    length = F.when(n == "", 0.0).otherwise(F.round(0.4 * F.least(F.lit(1.0), F.size(F.split(n, " ")) / 15), 6))
-    return table(spark, sf, "documents").select("doc_id", length.alias("length_score"), c.rlike(r"(?i)\b(restart|replac|install|fixed|correct|resolved)").alias("has_action"))
-
-
 @query("sentence_chunks")
 def sentence_chunks(spark, sf):
     """No SQL twin: DuckDB's patterns have no look-behind. Tested on hand-made texts."""
@@ -171,8 +163,3 @@ def ranking_metrics(spark, sf):
 def novelty_confusion(spark, sf):
     q, t = F.col("quality"), F.col("toxic")
     return table(spark, sf, "labels").agg(F.count_if((q == 0) & (t == 1)).alias("tp"), F.count_if((q == 1) & (t == 1)).alias("fp"), F.count_if((q == 0) & (t == 0)).alias("fn"))
-
-
-@query("closure_classes", "SELECT source, CASE WHEN lower(lang) = 'en' THEN 'unspecified' ELSE 'unspecified' END AS cls, count(*) AS n FROM documents GROUP BY ALL")
-def closure_classes(spark, sf):
-    return table(spark, sf, "documents").groupBy("source", clean.closure_class(F.col("lang")).alias("cls")).agg(F.count("*").alias("n"))

@@ -60,24 +60,6 @@ def latest_per_key(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("m")).select("o_custkey", "m.o_orderkey")
 
 
-@query("provenance_counts", "SELECT field, provenance, count(*) AS n FROM (SELECT 'value' AS field, CASE WHEN value IS NULL THEN 'missing' ELSE 'original' END AS provenance FROM events UNION ALL SELECT 'props', CASE WHEN props IS NULL THEN 'missing' ELSE 'original' END FROM events) GROUP BY ALL")
-def provenance_counts(spark, sf):
-    kinds = [F.struct(F.lit(c).alias("field"), F.when(F.col(c).isNull(), "missing").otherwise("original").alias("provenance")) for c in ("value", "props")]
-    return table(spark, sf, "events").select(F.explode(F.array(*kinds)).alias("k")).groupBy("k.field", "k.provenance").agg(F.count("*").alias("n"))
-
-
-@query("profile", "SELECT 'lang' AS col, count(*) - count(lang) AS nulls, count(DISTINCT lang) AS n_distinct FROM documents UNION ALL SELECT 'source', count(*) - count(source), count(DISTINCT source) FROM documents")
-def profile(spark, sf):
-    d = table(spark, sf, "documents")
-    s = d.agg(*[x for c in ("lang", "source") for x in (F.count_if(F.col(c).isNull()).alias(f"{c}_0"), F.count_distinct(c).alias(f"{c}_1"))])
-    return s.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"{c}_0").alias("nulls"), F.col(f"{c}_1").alias("n_distinct")) for c in ("lang", "source")])).alias("r")).select("r.*")
-
-
-@query("dataset_report", "SELECT count(*) AS n, count(*) FILTER (lang = 'en') AS n_en, count(*) FILTER (n_chars < 500) AS n_short, avg((n_chars > 1000)::INT) AS share_long FROM documents")
-def dataset_report(spark, sf):
-    return table(spark, sf, "documents").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("n_en"), F.count_if(F.col("n_chars") < 500).alias("n_short"), F.avg((F.col("n_chars") > 1000).cast("int")).alias("share_long"))
-
-
 @query("value_counts", "SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL")
 def value_counts(spark, sf):
     return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
@@ -89,11 +71,6 @@ def flag_counts(spark, sf):
     return table(spark, sf, "lineitem").select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
-@query("histogram", "SELECT floor(value / 10)::BIGINT AS bucket, count(*) AS n FROM events GROUP BY bucket")
-def histogram(spark, sf):
-    return table(spark, sf, "events").groupBy(F.floor(F.col("value") / 10).alias("bucket")).agg(F.count("*").alias("n"))
-
-
 @query("worst_records", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 15")
 def worst_records(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "n_chars").orderBy("n_chars", "doc_id").limit(15)
@@ -106,18 +83,12 @@ def signature_topn(spark, sf):
     return n.withColumn("total", F.sum("n").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "val"))).filter("r <= 4").select("fam", "val", (F.col("n") / F.col("total")).alias("share"))
 
 
-@query("dominant_value", "SELECT source, arg_max(lang, n * 1000 - ascii(lang)) AS lang FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
-def dominant_value(spark, sf):
-    n = table(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return n.groupBy("source").agg(F.max_by("lang", F.col("n") * 1000 - F.ascii("lang")).alias("lang"))
-
-
 _WILSON_SQL = """
 WITH g AS (SELECT event_type, count(*)::DOUBLE AS n, count(*) FILTER (value > 50)::DOUBLE AS k FROM events GROUP BY event_type),
 p AS (SELECT *, k / n AS p, 1 + 1.96 * 1.96 / n AS den FROM g)
 SELECT event_type, k / n AS rate,
-       greatest(0.0, (p + 1.96 * 1.96 / (2 * n)) / den - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / den) AS low,
-       least(1.0, (p + 1.96 * 1.96 / (2 * n)) / den + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / den) AS high
+       round(greatest(0.0, (p + 1.96 * 1.96 / (2 * n)) / den - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / den), 9) AS low,
+       round(least(1.0, (p + 1.96 * 1.96 / (2 * n)) / den + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / den), 9) AS high
 FROM p WHERE n >= 20
 """
 
@@ -126,7 +97,7 @@ FROM p WHERE n >= 20
 def wilson_outcomes(spark, sf):
     g = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("value") > 50).cast("double").alias("k")).filter("n >= 20")
     low, high = wilson(F.col("k"), F.col("n"))
-    return g.select("event_type", (F.col("k") / F.col("n")).alias("rate"), low.alias("low"), high.alias("high"))
+    return g.select("event_type", (F.col("k") / F.col("n")).alias("rate"), F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
 @query("median_baseline", "SELECT o_orderkey, coalesce(g.m, (SELECT median(o_totalprice) FROM orders)) AS baseline FROM orders LEFT JOIN (SELECT o_custkey, median(o_totalprice) AS m FROM orders GROUP BY o_custkey HAVING count(*) >= 5) g USING (o_custkey)")
