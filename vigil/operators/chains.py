@@ -63,7 +63,7 @@ def incident_chains(df: DataFrame) -> DataFrame:
     coded = F.when(F.coalesce(c("closure_code") != "Not Set", F.lit(False)), F.concat(F.lit(" [closure code: "), c("closure_code"), F.lit("]"))).otherwise("")
     timed = c("open_time").isNotNull() & c("resolved_time").isNotNull()
     after = F.concat(
-        F.lit("Resolved "), F.format_number(c("resolution_hours"), "0.0"), F.lit(" h after opening"), F.when(F.coalesce(c("reopened"), F.lit(False)), "; reopened").otherwise("; not reopened"),
+        F.lit("Resolved "), F.format_string("%.1f", c("resolution_hours")), F.lit(" h after opening"), F.when(F.coalesce(c("reopened"), F.lit(False)), "; reopened").otherwise("; not reopened"),
         F.coalesce(F.concat(F.lit("; "), c("reassignments").cast("string"), F.lit(" reassignment(s)")), F.lit("")),
     )
     links = F.array_compact(
@@ -106,9 +106,9 @@ def family_graph(signature: DataFrame, items: DataFrame, family: str, item: str,
     """Edges src, dst, rel, weight: families to root causes and components that a fair part of them has, pairs of families with many items in common, and
     pairs that share a frequent root cause. signature: family, field, value, share."""
     has = signature.filter(F.col("field").isin("root_cause", "component") & (F.col("value") != "Unknown") & (F.col("share") >= least_share))
-    own = has.select(F.col(family).alias("src"), F.concat_ws(":", "field", "value").alias("dst"), F.concat(F.lit("has_"), F.col("field")).alias("rel"), F.col("share").cast("double").alias("weight"))
+    own = has.select(F.col(family).cast("string").alias("src"), F.concat_ws(":", "field", "value").alias("dst"), F.concat(F.lit("has_"), F.col("field")).alias("rel"), F.col("share").cast("double").alias("weight"))
     pairs = shared_values(items.filter(F.col(item).isNotNull() & F.col(family).isNotNull()), family, item, least_items)
-    shared = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("shared_cis").alias("rel"), F.col("shared").cast("double").alias("weight"))
+    shared = pairs.select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), F.lit("shared_cis").alias("rel"), F.col("shared").cast("double").alias("weight"))
     causes = has.filter((F.col("field") == "root_cause") & (F.col("share") >= same_cause))
-    same = shared_values(causes, family, "value", 1).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("shared_root_cause").alias("rel"), F.lit(1.0).alias("weight"))
+    same = shared_values(causes, family, "value", 1).select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), F.lit("shared_root_cause").alias("rel"), F.lit(1.0).alias("weight"))
     return own.unionByName(shared).unionByName(same)

@@ -28,12 +28,13 @@ def dominant_value(spark, sf):
     return evidence.dominant(family_signatures(spark, sf), "family")
 
 
-_FAMILY_FP = f"WITH fp AS ({_FP}), j AS (SELECT fp.*, r.family, r.k FROM fp JOIN {RECORDS} r USING (incident_id)),"
+_FAMILY_FP = f"WITH j AS (SELECT incident_id, family, k, ci_group AS component, coalesce(title, 'Unknown') AS symptom, coalesce(closure_class, 'Unknown') AS root_cause FROM {RECORDS}),"
 
 
 def _fingerprinted(spark, sf):
-    out = fingerprints.of_records(records(spark, sf))
-    return out.select("incident_id", "family", "k", *[F.col(f"fingerprint.{f}.value").alias(f) for f in ("component", "symptom", "root_cause")])
+    """Records whose codes stand for the fields of a fingerprint."""
+    known = lambda c, n: F.coalesce(c, F.lit("Unknown")).alias(n)
+    return records(spark, sf).select("incident_id", "family", "k", F.col("ci_group").alias("component"), known("title", "symptom"), known("closure_class", "root_cause"))
 
 
 @query("family_names", f"""{_FAMILY_FP}
@@ -47,17 +48,18 @@ def family_names(spark, sf):
 
 
 @query("cross_symptoms", f"""{_FAMILY_FP}
-g AS (SELECT *, k % 17 AS grp FROM j), m AS (SELECT grp, count(*) AS members FROM g GROUP BY grp),
+g AS (SELECT *, k % 8 AS grp FROM j), m AS (SELECT grp, count(*) AS members FROM g GROUP BY grp),
 t AS (SELECT grp, root_cause, n FROM (SELECT grp, root_cause, count(*) AS n, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, min(k)) AS r FROM g GROUP BY grp, root_cause) WHERE r = 1),
 s AS (SELECT t.grp, t.root_cause, round(n / members, 3) AS share, symptom FROM t JOIN m USING (grp) JOIN (SELECT grp, root_cause, symptom, count(*) AS c FROM g WHERE symptom <> 'Unknown' GROUP BY ALL) x ON x.grp = t.grp AND x.root_cause = t.root_cause
-      WHERE t.root_cause <> 'Unknown' AND n / members >= 0.2 AND c / members >= 0.05)
+      WHERE t.root_cause <> 'Unknown' AND n / members >= 0.6 AND c / members >= 0.1)
 SELECT grp, root_cause, share, list_sort(list(symptom)) AS symptoms FROM s GROUP BY grp, root_cause, share HAVING count(*) >= 2""")
 def cross_symptoms(spark, sf):
-    return evidence.cross_symptoms(_fingerprinted(spark, sf).withColumn("grp", F.col("k") % 17), "grp", "root_cause", "symptom", "k", 0.2, 0.05)
+    return evidence.cross_symptoms(_fingerprinted(spark, sf).withColumn("grp", F.col("k") % 8), "grp", "root_cause", "symptom", "k")
 
 
 @query("family_outcomes", f"""
-WITH g AS (SELECT strategy, count(*)::DOUBLE AS n, (count(*) FILTER (reopened))::DOUBLE AS k, median(resolution_hours) AS h, avg(coalesce(reassignments, 0)) AS m FROM {RECORDS} WHERE reopened_source <> 'missing' AND reopened IS NOT NULL GROUP BY strategy),
+WITH r AS (SELECT *, reopened_source <> 'missing' AND reopened IS NOT NULL AS known FROM {RECORDS}),
+g AS (SELECT strategy, (count(*) FILTER (known))::DOUBLE AS n, (count(*) FILTER (known AND reopened))::DOUBLE AS k, median(resolution_hours) FILTER (known) AS h, avg(coalesce(reassignments, 0)) FILTER (known) AS m FROM r GROUP BY strategy),
 w AS (SELECT *, k / n AS p, 1 + 3.8416e0 / n AS den FROM g)
 SELECT strategy, n::BIGINT AS n_with_outcome, n >= 20 AS supported, CASE WHEN n >= 20 THEN round(p, 4) END AS reopen_rate,
        CASE WHEN n >= 20 THEN round(greatest(0, (p + 3.8416e0 / (2 * n)) / den - 1.96e0 * sqrt(p * (1 - p) / n + 3.8416e0 / (4 * n * n)) / den), 4) END AS reopen_low,

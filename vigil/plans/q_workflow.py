@@ -53,10 +53,30 @@ _ANSWER = "CASE WHEN value < 20 THEN 'WORKED' WHEN value < 60 THEN 'FAILED' ELSE
 
 def _sessions(spark, sf):
     answer = F.when(F.col("value") < 20, "WORKED").when(F.col("value") < 60, "FAILED").otherwise("UNKNOWN")
-    return table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("strategy"), answer.alias("answer"))
-
-
-@query("session_state", f"SELECT session_id, count(*) AS attempts, coalesce(list_sort(list(DISTINCT strategy) FILTER (answer = 'FAILED')), []) AS excluded, arg_max(strategy, seq) AS last_strategy, CASE WHEN count(*) FILTER (answer = 'WORKED') > 0 THEN 'resolved' WHEN count(*) >= 3 THEN 'escalated' ELSE 'open' END AS state FROM (SELECT user_id AS session_id, event_id AS seq, event_type AS strategy, {_ANSWER} AS answer FROM events) GROUP BY session_id")
+    kind = F.when(F.col("event_id") % 5 == 4, "clarified").otherwise("answer")
+    return table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_type").alias("strategy"), answer.alias("answer"), (F.col("event_id") % 2 == 0).alias("informative"))
+
+
+# The fold in SQL, event by event.
+_FOLD = f"""
+WITH RECURSIVE e AS (
+  SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_id % 5 = 4 THEN 'clarified' ELSE 'answer' END AS kind, event_type AS strategy, {_ANSWER} AS answer, event_id % 2 = 0 AS informative FROM events),
+s AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS n, 'active' AS status, 0 AS round, false AS bonus, []::VARCHAR[] AS excluded, []::VARCHAR[] AS skip, NULL::VARCHAR AS last FROM e
+  UNION ALL
+  SELECT session_id, n,
+         CASE WHEN answered AND answer = 'WORKED' THEN 'resolved' WHEN answered AND (next >= 3 OR bonus) THEN CASE WHEN bonus THEN 'escalated' ELSE 'awaiting_clarification' END
+              WHEN asked THEN CASE WHEN informative THEN 'active' ELSE 'escalated' END ELSE status END,
+         next, bonus OR (asked AND informative), CASE WHEN answered AND answer = 'FAILED' AND NOT list_contains(excluded, strategy) THEN list_append(excluded, strategy) ELSE excluded END,
+         CASE WHEN answered AND answer = 'FAILED' THEN [] WHEN answered AND answer = 'UNKNOWN' THEN [strategy] ELSE skip END, CASE WHEN answered THEN strategy ELSE last END
+  FROM (SELECT s.session_id, e.n, s.status, s.bonus, s.excluded, s.skip, s.last, e.answer, e.strategy, e.informative, s.status = 'active' AND e.kind = 'answer' AS answered,
+               s.status = 'awaiting_clarification' AND e.kind = 'clarified' AS asked, s.round + (s.status = 'active' AND e.kind = 'answer')::INT AS next
+        FROM s JOIN e ON e.session_id = s.session_id AND e.n = s.n + 1))
+SELECT session_id, status AS state, round AS attempts, list_sort(excluded) AS excluded, skip AS skip_once, last AS last_strategy, bonus AS bonus_round
+FROM s QUALIFY n = max(n) OVER (PARTITION BY session_id)"""
+
+
+@query("session_state", _FOLD)
 def session_state(spark, sf):
     return workflow.sessions(_sessions(spark, sf))
 
@@ -111,13 +131,6 @@ def top_decile_lift(spark, sf):
     return rows.join(F.broadcast(ahead), "s").join(F.broadcast(n)).withColumn("pos", pos).filter("pos <= cut").agg(F.round(F.avg("toxic") / F.first("base"), 9).alias("lift"))
 
 
-@query("stratified_sample")
-def stratified_sample(spark, sf):
-    """A sampling operator: per source two documents in a seeded hash order, so reruns agree. Checked by its strata."""
-    w = Window.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id")
-    return table(spark, sf, "documents").select("doc_id", "source").withColumn("r", F.row_number().over(w)).filter("r <= 2").drop("r")
-
-
 @query("context_precision", "WITH r AS (SELECT toxic AS grp, quality AS rel, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS pos FROM labels), c AS (SELECT *, sum(rel) OVER (PARTITION BY grp ORDER BY pos) AS hits FROM r) SELECT grp, round(sum(rel * hits / pos) / greatest(sum(rel), 1), 9) AS precision FROM c GROUP BY grp")
 def context_precision(spark, sf):
     w = Window.partitionBy("toxic").orderBy("doc_id")
