@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vigil.llm import byte_bpe as op
+from vigil.llm import token_bytes
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
@@ -29,8 +30,8 @@ def test_decoding_joins_the_token_table_and_keeps_order(spark, monkeypatch):
     rows = [(i, bytearray(op.np.array(LIB.encode_ordinary(t), "<u4").tobytes()), i) for i, t in enumerate(texts)] + [(99, None, 99)]
     df = spark.createDataFrame(rows, "doc int, ids binary, row int").repartition(3)
     for chunk, most in ((200_000, 10**9), (100, 10**9), (1, 0)):
-        monkeypatch.setattr(op, "CHUNK", chunk)
-        monkeypatch.setattr(op, "TABLE_BYTES", most)
+        monkeypatch.setattr(token_bytes, "CHUNK", chunk)
+        monkeypatch.setattr(token_bytes, "TABLE_BYTES", most)
         out = op.decode(df, PATH)
         assert out.columns == ["doc", "ids", "row", "decoded"]
         assert {r.doc: bytes(r.decoded).decode() for r in out.collect()} == dict(enumerate(texts)) | {99: ""}

@@ -2,9 +2,9 @@
 
 Method: texts are exploded into pre-tokens with their positions; every distinct pre-token meets all its blocks in
 one hash bucket, where it is encoded once; the identifiers join back to the blocks, and each text is reassembled
-by position. Decoding explodes texts into identifiers with their positions, joins them with the token-byte table and
-puts the bytes together again by position. The table's size is the vocabulary's; up to TABLE_BYTES it is broadcast, so the
-identifiers of a text stay in their task and in order, which is checked, and a larger one is joined by a shuffle.
+by position. Decoding takes texts in groups of about CHUNK identifiers, explodes each group's distinct identifiers, joins them
+with the token-byte table and puts each text's bytes together by position. The table's size is the vocabulary's; up to TABLE_BYTES
+it is broadcast, so a group stays in its task and in order, which is checked, and a larger one is joined by a shuffle.
 
 The exchange is packed (see packs): per block, the distinct pre-tokens by bucket, and the positions as a stream of
 numbers of distinct pre-tokens, most frequent first.
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,13 +31,14 @@ from pyspark.sql import functions as F
 from vigil.llm.bpe import TokenRanks, load_ranks, merge
 from vigil.llm.packs import answer_each, finish, ipc, join_bytes, put, ragged, scatter, small, split_bytes, take, unipc
 from vigil.llm.shared import SPACE, buckets
+from vigil.llm.token_bytes import decode
 
 #: Letters and signs for which Python's own regular expressions suffice: ASCII and Latin letters.
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-" + chr(0x24F)
 _PLAIN = re.compile(f"[\x00-\x1b\x20-\x7f{_LETTERS}]*")
 _QUICK = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\t-\\r 0-9{_LETTERS}]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+")
-#: Identifiers that a step handles at a time, words that a bucket remembers, and bytes up to which the token-byte table is broadcast.
-CHUNK, MEMO_WORDS, TABLE_BYTES = 200_000, 300_000, 64_000_000
+#: Bytes of text in a block, identifiers that a step handles at a time, and words that a bucket remembers.
+BLOCK_BYTES, CHUNK, MEMO_WORDS = 4_000_000, 200_000, 100_000
 OUT = ("n_tokens", "ids")
 
 
@@ -153,93 +153,13 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", car
     names = [c for c in carry if c not in OUT]
     # Carried columns travel under numbers, so that none can clash.
     rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text}`").cast("string").alias("text"))
-    x = scatter(rows, "text", _emit(pattern, buckets(df.sparkSession)))
+    x = scatter(rows, "text", _emit(pattern, buckets(df.sparkSession)), BLOCK_BYTES)
     held = [f"c{i}" for i in range(len(names))]
     kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in held)
     out = finish(x, answer_each(x, _reduce(vocabulary)), lambda p, a: _end(p, a, held), f"{kinds}n_tokens long, ids binary")
     return out.select(*[F.col(h).alias(n) for h, n in zip(held, names)], *OUT)
 
 
-def token_table(spark: SparkSession, vocabulary: str) -> DataFrame:
-    """The token-byte table: id, token."""
-    ranks = load_ranks(vocabulary)
-    return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int32()), "token": pa.array(ranks.keys(), pa.binary())}))
-
-
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From doc, ids: a row for each identifier with its text's number and its position; the first one carries doc. A text without any has one row."""
-    from pyspark import TaskContext
-
-    row = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        docs = batch.column("doc")
-        parts, size = [], 0
-
-        def flush(parts=parts, docs=docs):
-            number = np.concatenate([np.full(len(i), r) for _, r, _, i in parts])
-            at = np.concatenate([np.arange(begin, begin + len(i)) for _, _, begin, i in parts])
-            ids = np.concatenate([i for *_, i in parts])
-            first = np.zeros(len(ids), np.int64)
-            begins = np.cumsum([0, *(len(i) for *_, i in parts[:-1])])
-            first[begins] = [d for d, *_ in parts]
-            return pa.record_batch([docs.take(pa.array(first, mask=at > 0)), pa.array(number), pa.array(at), pa.array(ids, pa.int32(), mask=ids < 0)], names=["doc", "row", "at", "id"])
-
-        for d, data in enumerate(batch.column("ids")):
-            ids = np.frombuffer(data.as_py() or b"\xff\xff\xff\xff", "<i4")  # -1: no identifier
-            for begin in range(0, len(ids), CHUNK):
-                parts.append((d, row, begin, ids[begin : begin + CHUNK]))
-                size += len(parts[-1][3])
-                if size >= CHUNK:
-                    yield flush()
-                    parts.clear()
-                    size = 0
-            row += 1
-        if parts:
-            yield flush()
-
-
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From doc, row, at, token in the order of (row, at): doc, decoded."""
-    row = at = None
-    doc, parts = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows, ats, tokens = batch.column("row").to_numpy(), batch.column("at").to_numpy(), batch.column("token")
-        before, last = np.r_[-1 if row is None else row, rows[:-1]], np.r_[-1 if at is None else at, ats[:-1]]
-        if not np.where(ats > 0, (rows == before) & (ats == last + 1), rows != before).all():
-            raise RuntimeError("the identifiers of a text are out of order")
-        row, at = rows[-1], ats[-1]
-        offsets, data = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1], memoryview(tokens.buffers()[2] or b"")
-        cut = [*np.flatnonzero(ats == 0).tolist(), len(ats)]
-        parts.append(bytes(data[offsets[0] : offsets[cut[0]]]))
-        if len(cut) == 1:
-            continue
-        done = [] if doc is None else [doc]
-        texts = [] if doc is None else [b"".join(parts)]
-        done.append(batch.column("doc").take(pa.array(cut[:-2], pa.int64())))
-        texts += [bytes(data[offsets[x] : offsets[y]]) for x, y in zip(cut[:-2], cut[1:-1])]
-        doc, parts = batch.column("doc").slice(cut[-2], 1), [bytes(data[offsets[cut[-2]] : offsets[-1]])]
-        yield pa.record_batch([pa.concat_arrays(done), pa.array(texts, pa.binary())], names=["doc", "decoded"])
-    if doc is not None:
-        yield pa.record_batch([doc, pa.array([b"".join(parts)], pa.binary())], names=["doc", "decoded"])
-
-
-def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the bytes that the identifiers stand for."""
-    doc = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(doc.alias("doc"), F.col(f"`{ids}`").alias("ids"))
-    kind = rows.schema["doc"].dataType.simpleString()
-    each = rows.mapInArrow(_explode, f"doc {kind}, row long, at long, id int")
-    table = token_table(df.sparkSession, vocabulary)
-    if sum(map(len, load_ranks(vocabulary))) <= TABLE_BYTES:
-        joined = each.join(F.broadcast(table), "id", "left")
-    else:
-        joined = each.join(table.hint("merge"), "id", "left").repartition("row").sortWithinPartitions("row", "at")
-    whole = joined.select("doc", "row", "at", "token").mapInArrow(_assemble, f"doc {kind}, decoded binary")
-    return whole.select(*[F.col(f"doc.`{c}`").alias(c) for c in df.columns if c != out], F.col("decoded").alias(out))
-
-
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

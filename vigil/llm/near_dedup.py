@@ -43,7 +43,7 @@ SHINGLE, SIMILARITY, REGISTERS, BANDS = 5, 0.8, 126, 21
 #: Sketch bits in which two texts may differ. At similarity s a register differs with probability 3/4 (1 - s): at 0.8 in 18.9, standard deviation 4.
 DIFFERENT = 36
 #: Words whose hashes a task remembers, and texts whose registers are filled at a time.
-MEMO_WORDS, BATCH = 300_000, 1024
+MEMO_WORDS, BATCH = 100_000, 512
 
 _HASHES = WordHashes()
 

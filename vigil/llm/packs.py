@@ -21,6 +21,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from vigil.llm.hashing import ragged  # noqa: F401  a helper on arrays, for those who unpack
+
 SCHEMA = "key long, src long, data binary"
 #: Bytes of text after which a block is closed, and rows; a longer text is a block of its own.
 BLOCK_BYTES, BLOCK_ROWS = 8_000_000, 65_536
@@ -73,13 +75,6 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """values[s : s + n] of all s and n, one after the other."""
-    total = int(lengths.sum())
-    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    return values[at + np.arange(total)]
-
-
 def join_bytes(items: list[bytes]) -> tuple[np.ndarray, bytes]:
     return small(np.fromiter(map(len, items), np.int64, len(items))), b"".join(items)
 
