@@ -34,16 +34,6 @@ def _bm25_sql(limit: bool) -> str:
     GROUP BY id HAVING sum(times * weight * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) > 0 {"ORDER BY score DESC, id LIMIT 10" if limit else ""}"""
 
 
-@query("bm25_scores", _bm25_sql(False))
-def bm25_scores(spark, sf):
-    return retrieval.bm25(table(spark, sf, "documents"), QUERY).withColumn("score", F.round("score", 6))
-
-
-@query("bm25_topk", _bm25_sql(True))
-def bm25_topk(spark, sf):
-    return bm25_scores(spark, sf).orderBy(F.desc("score"), "id").limit(10)
-
-
 @query("analyzed_tokens", f"SELECT doc_id, {_TOKENS} AS tokens FROM documents")
 def analyzed_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.analyze(F.col("text")).alias("tokens"))

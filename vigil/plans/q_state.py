@@ -98,10 +98,10 @@ def escalation_packets(spark, sf):
 
 @query("postmortems", f"""
 WITH i AS (SELECT incident_id, epoch_us(open_time) AS o, epoch_us(resolved_time) AS r FROM {RECORDS} WHERE k % 3 <> 2),
-t AS (SELECT incident_id, o AS at, 0 AS p, 'incident opened' AS event FROM i UNION ALL SELECT incident_id, r, 2, 'incident resolved' FROM i WHERE r IS NOT NULL
+t AS (SELECT incident_id, o AS tm, 0 AS p, 'incident opened' AS event FROM i UNION ALL SELECT incident_id, r, 2, 'incident resolved' FROM i WHERE r IS NOT NULL
       UNION ALL SELECT l.incident_id, o + seq * 60000000, 1, 'attempt ' || lower(answer) FROM {_LOG} l JOIN i USING (incident_id)),
 a AS (SELECT incident_id, arg_max(step, seq) FILTER (answer = 'WORKED') AS w, coalesce(list(step ORDER BY seq) FILTER (answer = 'FAILED'), []) AS failed FROM (SELECT incident_id, seq, answer, CASE WHEN seq = 2 THEN 'restart ' ELSE '' END || step AS step FROM {_LOG}) GROUP BY incident_id)
-SELECT incident_id, list(event ORDER BY at, p, event) AS timeline, any_value(w) AS final_fix, any_value(failed) AS failed, coalesce(any_value(w) LIKE '%restart%', false) AS workaround FROM t JOIN a USING (incident_id) GROUP BY incident_id""")
+SELECT incident_id, list(event ORDER BY tm, p, event) AS timeline, any_value(w) AS final_fix, any_value(failed) AS failed, coalesce(any_value(w) LIKE '%restart%', false) AS workaround FROM t JOIN a USING (incident_id) GROUP BY incident_id""")
 def postmortems(spark, sf):
     r = records(spark, sf).filter("k % 3 <> 2").select("incident_id", "open_time", "resolved_time")
     log = _log(spark, sf).withColumn("step", F.concat(F.when(F.col("seq") == 2, "restart ").otherwise(""), "step"))
