@@ -73,7 +73,7 @@ def test_tables(spark, tmp_path):
     assert tables.export_csv(log, str(tmp_path / "csv")) == 3
     tables.write_table(log, str(tmp_path / "t"))
     tables.write_table(log.withColumn("more", F.lit(1)), str(tmp_path / "t"), mode="append")
-    assert tables.read_table(spark, str(tmp_path / "t")).filter("more IS NULL").count() == 3
+    assert tables.read_table(spark, str(tmp_path / "t"), merge_schema=True).filter("more IS NULL").count() == 3
     assert tables.read_table(spark, str(tmp_path / "t"), ["k"]).columns == ["k"]
     assert tables.top_up(log, log.filter("k = 1"), "k").count() == 1
     assert log.filter(tables.metadata_predicate({"k": [1], "v": []}, {"v": ["a"]})).count() == 1
@@ -84,14 +84,14 @@ FIELDS = "strategy string, incident_id string, confidence double, influence doub
 
 
 def test_ranking(spark):
-    df = spark.createDataFrame(EVIDENCE, FIELDS)
-    rows = ranking.rank_strategies(df).collect()
+    df = spark.createDataFrame([(0, *r) for r in EVIDENCE], f"q int, {FIELDS}")
+    rows = ranking.rank_resolutions(df, "q").orderBy("rank").collect()
     assert [r.strategy for r in rows] == ["S1", "S2"] and rows[0].supporting == ["A", "B"] and rows[0].step == "na"
     assert rows[0].confidence == pytest.approx(0.9 * 1.7 / 2.4)
-    assert ranking.rank_strategies(df, excluded=["S1"]).first().strategy == "S2"
-    assert ranking.rank_strategies(df, reranked=False).first().confidence is None
-    prior = spark.createDataFrame([("F1-S1", "A", 0.6, 1.0, 1.0, "original", "x"), ("F2-S1", "B", 0.7, 1.0, 1.0, "original", "y")], FIELDS)
-    assert ranking.rank_strategies(prior, family=("F1", 0.9)).first().strategy == "F1-S1"
+    assert ranking.rank_resolutions(df, "q", reranked=False).first().confidence is None
+    prior = [(0, "F1-S1", "A", 0.6, 1.0, 1.0, "original", "x"), (0, "F2-S1", "B", 0.7, 1.0, 1.0, "original", "y"), (1, "S1", "C", 0.9, 1.0, 1.0, "original", "delete it"), (1, "S2", "D", 0.1, 1.0, 1.0, "original", "z")]
+    rows = ranking.rank_resolutions(spark.createDataFrame(prior, f"q int, {FIELDS}"), "q", (F.lit("F1"), F.lit(0.9))).filter("rank = 1").orderBy("q").collect()
+    assert [r.strategy for r in rows] == ["F1-S1", "S2"]  # a destructive action on one source doesn't lead
     score, grade = ranking.query_grade([F.lit(0.9), F.lit(None).cast("double"), F.lit(0.6)], F.lit(False))
     assert tuple(spark.range(1).select(score, grade).first()) == (0.75, "good")
     assert spark.range(1).select(ranking.route_tier(["L1", "L2", "L3"], F.lit(True), F.lit(True), F.lit(True))).first()[0] == "L3"

@@ -121,3 +121,14 @@ def paraphrase(c: Column, replacements: list[tuple[str, str]], style: Column, wo
         lay = F.regexp_replace(lay, f"(?i){pattern}", word)
     short = F.array_join(F.slice(F.filter(F.split(lay, r"\s+"), lambda w: w != ""), 1, words), " ")
     return F.when(style == "vague", short).when(style == "lay", lay).otherwise(plain)
+
+
+def render(template: str, **values: Column) -> Column:
+    """A template whose {names} are replaced; the words of a name that is null are left out with their space."""
+    import re
+
+    words = []
+    for word in template.split(" "):
+        m = re.fullmatch(r"([^{]*)\{(\w+)\}(.*)", word)
+        words.append(F.concat(F.lit(m[1]), values[m[2]], F.lit(m[3])) if m else F.lit(word))
+    return F.concat_ws(" ", *words)

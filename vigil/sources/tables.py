@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Columns that mark an event log, and name fragments of free-text columns.
@@ -48,8 +48,9 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, merge_schema: bool = False) -> DataFrame:
+    """A table, pruned to columns. merge_schema reads every file's footer, so ask for it only where appends have changed the schema."""
+    df = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
     return df.select(*columns) if columns else df
 
 
@@ -57,15 +58,32 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def export_csv(df: DataFrame, path: str) -> int:
-    """CSV export; the rows read back must be as many as were written."""
-    df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
-    wrote, back = df.count(), df.sparkSession.read.csv(path, header=True, multiLine=True, escape='"').count()
+    """CSV export in UTF-8 with a byte order mark ahead of the header; the rows read back must be as many as were written, which are counted while they are."""
+    seen = Observation()
+    marked = df.observe(seen, F.count(F.lit(1)).alias("n")).withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    marked.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', encoding="UTF-8")
+    wrote, back = seen.get["n"], df.sparkSession.read.csv(path, header=True, multiLine=True, escape='"').count()
     if wrote != back:
         raise AssertionError(f"{wrote} rows were written, {back} read")
     return wrote
 
 
+def enforce(df: DataFrame, schema: dict[str, str], sources: tuple[str, ...]) -> DataFrame:
+    """The columns of a schema (name to type), in its order and types; an absent column is an error, and so is a provenance outside its classes when rows are read."""
+    if missing := [c for c in schema if c not in df.columns]:
+        raise ValueError(f"columns are missing: {missing}")
+    out = df.select(*[F.col(c).cast(t).alias(c) for c, t in schema.items()])
+    for c in schema:
+        if c.endswith("_source"):
+            out = out.withColumn(c, F.when(F.col(c).isNull() | F.col(c).isin(*sources), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"{c}: no provenance class: "), F.col(c)))))
+    return out
+
+
 def latest(log: DataFrame, key: str, order: str) -> DataFrame:
     """The current view of an append-only log: the last row per key, found by partial aggregation."""
     whole = F.struct(order, *[c for c in log.columns if c != order])
