@@ -25,10 +25,14 @@ def test_rules(spark):
 
 
 def test_workflow(spark):
-    log = spark.createDataFrame([("s1", 1, "A", "FAILED"), ("s1", 2, "B", "WORKED"), ("s2", 1, "A", "FAILED"), ("s2", 2, "B", "UNKNOWN"), ("s2", 3, "C", "FAILED"), ("s3", 1, "A", "UNKNOWN")], "session_id string, seq int, strategy string, answer string")
-    got = {r.session_id: (r.state, r.excluded) for r in workflow.sessions(log).collect()}
-    assert got == {"s1": ("resolved", ["A"]), "s2": ("escalated", ["A", "C"]), "s3": ("open", [])}
-    assert workflow.bad_answers(log).count() == 0 and workflow.attempts(log).agg(F.max("attempt")).first()[0] == 3
+    told = {"s1": "A FAILED, B WORKED, C FAILED", "s2": "A FAILED, B UNKNOWN, C FAILED", "s3": "A UNKNOWN", "s4": "A FAILED, A FAILED, B FAILED, ? yes, C FAILED, D WORKED", "s5": "A FAILED, B FAILED, C FAILED, ? no, D WORKED", "s6": "A FAILED, B FAILED, C FAILED, D WORKED", "s7": "A FAILED, B FAILED, C FAILED, ? yes, C WORKED"}
+    events = [(s, i, "clarified" if x[0] == "?" else "answer", None if x[0] == "?" else x[0], None if x[0] == "?" else x[2:], x == "? yes") for s, t in told.items() for i, x in enumerate(t.split(", "))]
+    log = spark.createDataFrame(events, "session_id string, seq int, kind string, strategy string, answer string, informative boolean")
+    got = {r.session_id: (r.state, r.attempts, r.excluded, r.skip_once) for r in workflow.sessions(log).collect()}
+    assert got["s1"] == ("resolved", 2, ["A"], []) and got["s2"] == ("awaiting_clarification", 3, ["A", "C"], []) and got["s3"] == ("active", 1, [], ["A"])
+    assert got["s4"][:3] == ("escalated", 4, ["A", "B", "C"]) and got["s5"][0] == "escalated" and got["s6"][:2] == ("awaiting_clarification", 3) and got["s7"][0] == "resolved"
+    log = log.filter("kind = 'answer'")
+    assert workflow.bad_answers(log).count() == 0 and workflow.attempts(log).agg(F.max("attempt")).first()[0] == 5
     scores = spark.createDataFrame([("i", 0.72), ("j", 0.1)], "incident_id string, score double")
     feedback = spark.createDataFrame([(1, "i", False), (1, "i", False), (2, "i", False), (3, "j", False), (4, "j", True)], "feedback_id int, incident_id string, helpful boolean")
     assert {r.incident_id: round(r.score, 4) for r in workflow.penalties(scores, feedback).collect()} == {"i": 0.42, "j": 0.0}

@@ -88,10 +88,12 @@ def dup_groups(spark, sf):
 @query("centroid_match", "WITH p AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i), c AS (SELECT label, list(x ORDER BY i) AS c FROM p GROUP BY label) SELECT vec_id, round(max(list_cosine_similarity(embedding::DOUBLE[], c)), 6) AS best FROM embeddings, c GROUP BY vec_id")
 def centroid_match(spark, sf):
     """Centroids are one row per family; their number is checked before they are sent to all rows."""
+    from vigil.operators.families import nearest_centroid, unit
+
     v = table(spark, sf, "embeddings")
-    c = groups.centroids(v, "label", "embedding").select("centroid")
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    return v.join(F.broadcast(c)).groupBy("vec_id").agg(F.round(F.max(dot(F.col("embedding"), F.col("centroid")) / norm), 6).alias("best"))
+    c = groups.centroids(v, "label", "embedding")
+    rows = v.select("vec_id", unit(F.transform("embedding", lambda x: x.cast("double"))).alias("u"))
+    return nearest_centroid(rows, "vec_id", "u", c, "label").select("vec_id", F.round("similarity", 6).alias("best"))
 
 
 @query("purity", "SELECT sum(best) / sum(n) AS purity FROM (SELECT vec_id_mod, max(c) AS best, sum(c) AS n FROM (SELECT vec_id % 7 AS vec_id_mod, label, count(*) AS c FROM embeddings GROUP BY ALL) GROUP BY vec_id_mod)")

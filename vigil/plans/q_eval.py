@@ -51,11 +51,11 @@ def config_means(spark, sf):
 
 @query("clustering_measures", f"""
 WITH x AS (SELECT k % 12 AS c, coalesce(closure_class, '-') AS t FROM {RECORDS}), n AS (SELECT c, t, count(*)::DOUBLE AS n FROM x GROUP BY c, t),
-cs AS (SELECT c, sum(n) AS s, max(n) AS b FROM n GROUP BY c), ts AS (SELECT t, sum(n) AS s, max(n) AS b FROM n GROUP BY t), a AS (SELECT sum(n) AS tot, sum(n * (n - 1) / 2) AS both FROM n),
+cs AS (SELECT c, sum(n) AS s, max(n) AS b FROM n GROUP BY c), ts AS (SELECT t, sum(n) AS s, max(n) AS b FROM n GROUP BY t), a AS (SELECT sum(n) AS tot, sum(n * (n - 1) / 2) AS bth FROM n),
 m AS (SELECT sum(n / tot * ln(n * tot / (cs.s * ts.s))) AS mi FROM n JOIN cs USING (c) JOIN ts USING (t), a), h AS (SELECT (SELECT -sum(s / tot * ln(s / tot)) FROM cs, a) AS hc, (SELECT -sum(s / tot * ln(s / tot)) FROM ts, a) AS ht),
 p AS (SELECT (SELECT sum(s * (s - 1) / 2) FROM cs) AS pc, (SELECT sum(s * (s - 1) / 2) FROM ts) AS pt)
 SELECT round((SELECT sum(b) FROM cs) / tot, 9) AS purity, round((SELECT sum(b) FROM ts) / tot, 9) AS inverse_purity, round(2 * mi / (hc + ht), 9) AS nmi,
-       round((both - pc * pt / (tot * (tot - 1) / 2)) / ((pc + pt) / 2 - pc * pt / (tot * (tot - 1) / 2)), 9) AS ari FROM a, m, h, p""")
+       round((bth - pc * pt / (tot * (tot - 1) / 2)) / ((pc + pt) / 2 - pc * pt / (tot * (tot - 1) / 2)), 9) AS ari FROM a, m, h, p""")
 def clustering_measures(spark, sf):
     x = records(spark, sf).select((F.col("k") % 12).alias("c"), F.coalesce("closure_class", F.lit("-")).alias("t"))
     out = evaluation.clustering(x, "c", "t")

@@ -123,7 +123,7 @@ _COMPLETE = "(" + " + ".join(f"({c}_source <> 'missing')::INT" for c in quality.
 def _score_sql(rows: str, odd: str) -> str:
     """rows: a relation of records; odd: SQL for inconsistent with similar records."""
     return f"""
-    SELECT *, round(0.5e0 * detail + 0.15e0 * completeness + 0.2e0 * consistency + 0.15e0 * outcome, 4) AS quality_score,
+    SELECT *, round(0.5e0 * detail + 0.15e0 * completeness + 0.2e0 * consistency + 0.15e0 * outcome + 1e-9, 4) AS quality_score,
            CASE WHEN 0.5e0 * detail + 0.15e0 * completeness + 0.2e0 * consistency + 0.15e0 * outcome >= 0.7 THEN 'high' WHEN 0.5e0 * detail + 0.15e0 * completeness + 0.2e0 * consistency + 0.15e0 * outcome >= 0.5 THEN 'medium' ELSE 'low' END AS quality_tier,
            list_concat(dflags, cflags, CASE WHEN outcome = 0.5 THEN ['reopened_after_fix'] WHEN outcome = 0.75 THEN ['high_reassignments'] ELSE [] END) AS quality_flags
     FROM (SELECT *, greatest(0e0, 1 - len(cflags) * 0.5e0) AS consistency
@@ -155,7 +155,7 @@ fence AS (SELECT round(quantile_cont(best, 0.05), 6) AS fence FROM best WHERE us
 @query("quality_assess", f"""{_NEAR}
 SELECT incident_id, best, dup_group = incident_id AS canonical, quality_score,
        list_concat(quality_flags, CASE WHEN dup_group <> incident_id THEN ['exact_duplicate'] ELSE [] END) AS quality_flags,
-       round(quality_score * CASE WHEN resolution_notes_source = 'original' THEN 1e0 ELSE 0.8e0 END, 4) AS influence_weight
+       round(1e-9 + quality_score * CASE WHEN resolution_notes_source = 'original' THEN 1e0 ELSE 0.8e0 END, 4) AS influence_weight
 FROM ({_score_sql('(SELECT best.*, fence FROM best, fence)', 'usable AND best < fence')})""")
 def quality_assess(spark, sf):
     """Records that have a vector; the vector of another row stands for the note's."""
