@@ -186,3 +186,19 @@ def test_dimension_matches(spark):
     m = fingerprints.family_match(F.col("a"), F.create_map(F.lit("x"), F.lit(0.25)))
     rows = spark.createDataFrame([("x", "x"), ("x", "y"), ("Unknown", "x")], "a string, b string").select(d, m).collect()
     assert [tuple(r) for r in rows] == [(1.0, 0.25), (0.0, 0.25), (None, None)]
+
+
+def test_unified_log_is_complete(spark):
+    from vigil.operators import unify
+
+    log = spark.createDataFrame([("1", "Not Set", "n/a", "Software", None, "2024-01-01", "Unknown")], "incident_id string, impact string, urgency string, closure_code string, open_time string, resolved_time string, closure_class string")
+    log = log.selectExpr("*", "'2' AS priority", "CAST(NULL AS string) AS status")
+    r = unify.complete(log).first()
+    assert (r.impact_source, r.priority_source, r.open_time_source, r.resolved_time_source, r.status_source, r.closure_class_source) == ("missing", "original", "missing", "original", "missing", "missing")
+    assert r.title is None and r.title_source == "missing" and r.reopened_source == "derived" and unify.bad_provenance(unify.complete(log)).count() == 0
+
+
+def test_flat_reports():
+    from vigil.operators.evaluation import flatten
+
+    assert flatten({"a": {"b": 1, "c": {"d": 0.5}}, "e": "text", "f": True}) == [("a.b", 1.0), ("a.c.d", 0.5)]

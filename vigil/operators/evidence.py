@@ -154,3 +154,27 @@ def provenance_counts(df: DataFrame, fields: list[str], classes: tuple[str, ...]
     """Per field how many rows have each provenance class."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_source").alias("p")) for f in fields])).alias("x")).select("x.*")
     return long.groupBy("field").agg(*[F.count_if(F.col("p") == c).alias(c) for c in classes])
+
+
+SECTIONS = ("query_understood", "extracted_fingerprint", "matched_incident_family", "retrieved_incidents", "root_cause_evidence", "resolution_evidence", "evidence_strength")
+INSUFFICIENT = "insufficient evidence"
+
+
+def chain(rows: DataFrame, query: str) -> DataFrame:
+    """rows: query, known_fields, novel, family, match_strength, n_retrieved, root_cause, certainty, strategy, confidence, and matches (map of field to share).
+
+    One evidence chain per query: its sections in order with status and value, the share of them that is computed, and the fields whose match
+    couldn't be computed. Every section is filled from data or insufficient; for a novel query the nearest family, its root causes and its fixes are no evidence.
+    """
+    known = ~F.coalesce("novel", F.lit(False))
+    values = {
+        "query_understood": F.lit("understood"), "extracted_fingerprint": F.when(F.col("known_fields") > 0, F.concat(F.col("known_fields").cast("string"), F.lit(" fields"))),
+        "matched_incident_family": F.when(known & F.col("match_strength").isNotNull(), F.col("family")), "retrieved_incidents": F.when(F.col("n_retrieved") > 0, F.col("n_retrieved").cast("string")),
+        "root_cause_evidence": F.when(known, F.concat_ws(": ", F.nullif(F.col("certainty"), F.lit(INSUFFICIENT)), "root_cause")), "resolution_evidence": F.when(known, F.col("strategy")),
+        "evidence_strength": F.when(F.exists(F.map_values("matches"), lambda v: v.isNotNull()), F.lit("computed")),
+    }
+    section = lambda n: F.struct(F.lit(n).alias("section"), F.when(F.coalesce(values[n], F.lit("")) != "", "computed").otherwise(INSUFFICIENT).alias("status"), F.nullif(values[n], F.lit("")).alias("value"))
+    out = rows.withColumn("sections", F.array(*map(section, SECTIONS)))
+    done = F.size(F.filter("sections", lambda s: s["status"] == "computed"))
+    gaps = F.sort_array(F.map_keys(F.map_filter("matches", lambda k, v: v.isNull())))
+    return out.select(query, "sections", (done / len(SECTIONS)).alias("completeness"), gaps.alias("not_computable"))

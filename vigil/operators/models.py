@@ -52,3 +52,13 @@ def novelty_threshold(df: DataFrame, score: str, known: str, share: float = 0.02
     rows = df.filter(F.col(known)).select(F.col(score).alias("s"))
     at = rows.agg(F.percentile("s", share).alias("t"))
     return rows.join(F.broadcast(at)).agg(((F.max(F.when(F.col("s") <= F.col("t"), F.col("s"))) + F.min(F.when(F.col("s") > F.col("t"), F.col("s")))) / 2).alias("threshold"))
+
+
+def ordinal(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
+    """df with <column>_code: the value's place among the sorted values of fitted, from 0; -1 for values that fitted doesn't have, and for null.
+
+    Each vocabulary is one row: categories don't grow with the rows.
+    """
+    words = fitted.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(f"__{c}") for c in columns])
+    code = lambda c: F.coalesce(F.array_position(F.col(f"__{c}"), F.col(c).cast("string")) - 1, F.lit(-1)).cast("int")
+    return df.join(F.broadcast(words)).withColumns({f"{c}_code": code(c) for c in columns}).drop(*[f"__{c}" for c in columns])

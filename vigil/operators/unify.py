@@ -62,6 +62,24 @@ def from_event_log(df: DataFrame, file_name: str) -> DataFrame:
     )
 
 
+def complete(df: DataFrame) -> DataFrame:
+    """The unified event log with the provenance of every field, and the text fields that it doesn't have: null and missing.
+
+    Levels and codes that are placeholders, times that couldn't be read and counts that are absent are missing; whether a record was reopened is derived.
+    """
+    c = F.col
+    given = {n: (c(n) != clean.NOT_SET) & c(n).isNotNull() for n in ("impact", "urgency", "priority", "closure_code")}
+    given |= {n: c(n).isNotNull() for n in ("open_time", "resolved_time", "reopen_time", "close_time", "no_of_reassignments", "status", "ci_name", "ticket_type", "ci_subcategory") if n in df.columns}
+    out = {f"{n}_source": clean.source_of(p, "original") for n, p in given.items()}
+    out |= {"reopened_source": F.lit("derived"), "closure_class_source": clean.source_of(~c("closure_class").isin(clean.UNKNOWN), "derived")}
+    for n in ("title", "description", "resolution_notes"):
+        out |= {n: F.lit(None).cast("string"), f"{n}_source": F.lit("missing")}
+    out |= {"category_original": F.lit(None).cast("string"), "category_conflict": F.lit(False), "in_kb": F.lit(False), "text_generator": F.lit(None).cast("string"), "media_asset": F.lit(None).cast("string")}
+    out |= {n: F.lit(None).cast("double") for n in ("no_of_related_incidents", "no_of_related_changes") if n not in df.columns}
+    out |= {n: F.lit(None).cast("string") for n in ("gt_scenario", "gt_strategy", "gt_view", "gt_note_quality", "gt_seeded_defect")}
+    return df.withColumns(out)
+
+
 def eligible_for_text(df: DataFrame) -> DataFrame:
     return df.filter((F.col("status") == "Closed") & F.col("resolved_time").isNotNull() & (F.col("ticket_type") == "incident") & (F.col("ci_group") != "other") & (F.col("closure_code") != clean.NOT_SET))
 

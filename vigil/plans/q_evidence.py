@@ -228,3 +228,21 @@ def family_graph(spark, sf):
     sig = evidence.signatures(r, "fam", ["component", "root_cause"], "k", k=1000)
     g = chains.family_graph(sig, r, "fam", "ci_name", 0.05, 0.1, 5)
     return g.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "rel", "weight")
+
+
+_SECTION = "CASE WHEN {0} THEN 'computed' ELSE 'insufficient evidence' END"
+
+
+@query("evidence_chains", f"""
+WITH r AS (SELECT incident_id, k % 6 = 0 AS novel, k % 4 > 0 AS fields, k % 5 > 0 AS strong, k % 7 > 0 AS got, k % 3 > 0 AS cause, k % 8 > 0 AS way, k % 2 = 0 AS c, k % 9 = 0 AS s FROM {RECORDS}),
+t AS (SELECT *, ['computed', {", ".join(_SECTION.format(x) for x in ("fields", "NOT novel AND strong", "got", "NOT novel AND cause", "NOT novel AND way", "c OR s"))}] AS status FROM r)
+SELECT incident_id, status, round(len(list_filter(status, lambda x: x = 'computed')) / 7, 9) AS completeness, list_filter([CASE WHEN NOT c THEN 'component' END, CASE WHEN NOT s THEN 'symptom' END], lambda x: x IS NOT NULL) AS not_computable FROM t""")
+def evidence_chains(spark, sf):
+    k = F.col("k")
+    matches = F.create_map(F.lit("component"), F.when(k % 2 == 0, 0.5), F.lit("symptom"), F.when(k % 9 == 0, 1.0))
+    rows = records(spark, sf).select(
+        "incident_id", (k % 4).alias("known_fields"), (k % 6 == 0).alias("novel"), "family", F.when(k % 5 > 0, 0.4).alias("match_strength"), (k % 7).alias("n_retrieved"), F.when(k % 3 > 0, "memory leak").alias("root_cause"),
+        F.when(k % 3 > 0, "likely").otherwise(evidence.INSUFFICIENT).alias("certainty"), F.when(k % 8 > 0, F.col("strategy")).alias("strategy"), F.lit(0.5).alias("confidence"), matches.alias("matches"),
+    )
+    out = evidence.chain(rows, "incident_id")
+    return out.select("incident_id", F.transform("sections", lambda s: s["status"]).alias("status"), F.round("completeness", 9).alias("completeness"), "not_computable")
