@@ -63,6 +63,9 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
 
 def test_many_blocks_give_the_same(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    both = op.round_trip(docs.repartition(5), PATH, public_tokenizers.PATTERN).collect()
+    assert all(bytes(r.decoded).decode() == t for r, t in zip(sorted(both, key=lambda r: r.doc_id), [r.text or "" for r in docs.orderBy("doc_id").collect()], strict=True))
+    assert op.round_trip(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
     want = {r.doc_id: bytes(r.ids) for r in op.encode(docs, PATH, public_tokenizers.PATTERN).collect()}
     got = {r.doc_id: bytes(r.ids) for r in op.encode(docs.repartition(9), PATH, public_tokenizers.PATTERN).collect()}
     assert got == want

@@ -22,16 +22,17 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from vigil.llm.bpe import TokenRanks, load_ranks, merge
-from vigil.llm.packs import answer_each, finish, ipc, join_bytes, put, ragged, scatter, small, split_bytes, take, unipc
+from vigil.llm.packs import answer_each, finish_arrow, ipc, join_bytes, put, ragged, scatter, small, split_bytes, take, unipc
 from vigil.llm.shared import SPACE, buckets
-from vigil.llm.token_bytes import decode
+from vigil.llm.token_bytes import decode, empty_groups, groups, joined  # noqa: F401  decode belongs to this operator
 
 #: Letters and signs for which Python's own regular expressions suffice: ASCII and Latin letters.
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-" + chr(0x24F)
@@ -116,9 +117,8 @@ def _reduce(vocabulary: str):
     return bucket
 
 
-def _end(payload: bytes | None, answers: dict[int, bytes], names: list[str]) -> pd.DataFrame:
-    if payload is None:
-        return pd.DataFrame({n: pd.Series(dtype="object") for n in [*names, "n_tokens", "ids"]})
+def _end(payload: bytes, answers: dict[int, bytes]) -> pa.Table:
+    """The block's carried columns with n_tokens and ids."""
     counts, stream, bucket, carried = take(payload)
     n_ids = np.zeros(len(bucket), np.int64)
     values, starts, base = [], np.zeros(len(bucket), np.int64), 0
@@ -144,20 +144,39 @@ def _end(payload: bytes | None, answers: dict[int, bytes], names: list[str]) ->
         tokens[doc:stop] = np.diff(cut)
         out += [data[4 * a : 4 * b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
         at, doc = int(ends[stop - 1]), stop
-    frame = unipc(carried).to_pandas() if carried else pd.DataFrame(index=range(len(counts)))
-    return frame.assign(n_tokens=tokens, ids=out)
+    table = unipc(carried) if carried else pa.table({})
+    return table.append_column("n_tokens", pa.array(tokens, pa.int64())).append_column("ids", pa.array(out, pa.binary()))
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, n_tokens, and ids: little-endian unsigned 32-bit integers in one binary value."""
+def _blocks(df: DataFrame, vocabulary: str, pattern: str, text: str, carry: tuple[str, ...], end, group: bool) -> tuple[DataFrame, list[str]]:
+    """The blocks of df ended by end, and the carried columns. Those travel under numbers, so that none can clash."""
     names = [c for c in carry if c not in OUT]
-    # Carried columns travel under numbers, so that none can clash.
     rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text}`").cast("string").alias("text"))
     x = scatter(rows, "text", _emit(pattern, buckets(df.sparkSession)), BLOCK_BYTES)
-    held = [f"c{i}" for i in range(len(names))]
-    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in held)
-    out = finish(x, answer_each(x, _reduce(vocabulary)), lambda p, a: _end(p, a, held), f"{kinds}n_tokens long, ids binary")
-    return out.select(*[F.col(h).alias(n) for h, n in zip(held, names)], *OUT)
+    flat = StructType([*rows.drop("text").schema.fields, StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
+    kind = f"doc {flat.simpleString()}, row long, at long, id int" if group else ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat)
+    fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in flat])
+    empty = pa.schema([("doc", pa.struct(list(fields))), ("row", pa.int64()), ("at", pa.int64()), ("id", pa.int32())]) if group else fields
+    return finish_arrow(x, answer_each(x, _reduce(vocabulary)), end, empty, kind), names
+
+
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, n_tokens, and ids: little-endian unsigned 32-bit integers in one binary value."""
+    out, names = _blocks(df, vocabulary, pattern, text, carry, lambda _, p, a: _end(p, a), False)
+    return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], *OUT)
+
+
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """encode() and decode() in one: the carried columns, n_tokens, ids and decoded. A block's groups leave it ready for the join, which saves a Python worker in each task."""
+
+    def end(block: int, payload: bytes, answers: dict[int, bytes]) -> pa.Table:
+        table = _end(payload, answers).combine_chunks()
+        doc = pa.StructArray.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns], names=table.column_names)
+        return pa.Table.from_batches(groups(doc, "ids", block << 12)) if len(doc) else empty_groups(doc.type)
+
+    out, names = _blocks(df, vocabulary, pattern, text, carry, end, True)
+    whole = joined(out, "ids", vocabulary)
+    return whole.select(*[F.col(f"doc.c{i}").alias(n) for i, n in enumerate(names)], *[F.col(f"doc.{c}").alias(c) for c in OUT], "decoded")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +184,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    out = round_trip(docs, path, public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -192,3 +192,15 @@ def finish(x: DataFrame, answers: DataFrame, end: Callable[[bytes, dict[int, byt
         return end(left["data"].iloc[0], dict(zip(right["src"].tolist(), right["data"].tolist())))
 
     return x.groupBy("key").cogroup(answers.groupBy("key")).applyInPandas(run, schema)
+
+
+def finish_arrow(x: DataFrame, answers: DataFrame, end: Callable[[int, bytes, dict[int, bytes]], pa.Table], empty: pa.Schema, schema: str) -> DataFrame:
+    """As finish(), with tables: end(block, payload, answers by bucket) for every block; blocks are numbered from 0."""
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        if block >= 0:
+            return empty.empty_table()
+        return end(-1 - block, left.column("data")[0].as_py(), dict(zip(right.column("src").to_pylist(), right.column("data").to_pylist())))
+
+    return x.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(run, schema)

@@ -22,25 +22,34 @@ def token_table(spark: SparkSession, vocabulary: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int32()), "token": pa.array(ranks.keys(), pa.binary())}))
 
 
+def groups(docs: pa.StructArray, ids: str, row: int) -> Iterator[pa.RecordBatch]:
+    """Texts in groups of about CHUNK identifiers, numbered by row and counted by at: first the texts (doc), then the distinct identifiers of them (id)."""
+    values = docs.field(ids)
+    sizes = np.fromiter((len(v.as_py() or b"") // 4 for v in values), np.int64, len(values))
+    begin = 0
+    while begin < len(values):
+        end = max(begin + 1, int(np.searchsorted(np.cumsum(sizes[begin:]), CHUNK, "right")) + begin)
+        found = np.unique(np.concatenate([np.frombuffer(values[i].as_py() or b"", "<i4") for i in range(begin, end)]))
+        n, m = end - begin, len(found)
+        place = pa.array(np.r_[np.arange(begin, end), np.zeros(m, np.int64)], pa.int64(), mask=np.arange(n + m) >= n)
+        column = pa.array(np.r_[np.zeros(n, np.int32), found.astype(np.int32)], pa.int32(), mask=np.arange(n + m) < n)
+        yield pa.record_batch([docs.take(place), pa.array(np.full(n + m, row)), pa.array(np.arange(n + m)), column], names=["doc", "row", "at", "id"])
+        row, begin = row + 1, end
+
+
+def empty_groups(doc: pa.DataType) -> pa.Table:
+    return pa.schema([("doc", doc), ("row", pa.int64()), ("at", pa.int64()), ("id", pa.int32())]).empty_table()
+
+
 def _explode(ids: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of texts, numbered by row and counted by at: first the texts (doc), then the distinct identifiers of them (id)."""
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            docs = batch.column("doc")
-            values = docs.field(ids)
-            sizes = np.fromiter((len(v.as_py() or b"") // 4 for v in values), np.int64, len(values))
-            begin = 0
-            while begin < len(values):
-                end = max(begin + 1, int(np.searchsorted(np.cumsum(sizes[begin:]), CHUNK, "right")) + begin)
-                found = np.unique(np.concatenate([np.frombuffer(values[i].as_py() or b"", "<i4") for i in range(begin, end)]))
-                n, m = end - begin, len(found)
-                place = pa.array(np.r_[np.arange(begin, end), np.zeros(m, np.int64)], pa.int64(), mask=np.arange(n + m) >= n)
-                column = pa.array(np.r_[np.zeros(n, np.int32), found.astype(np.int32)], pa.int32(), mask=np.arange(n + m) < n)
-                yield pa.record_batch([docs.take(place), pa.array(np.full(n + m, row)), pa.array(np.arange(n + m)), column], names=["doc", "row", "at", "id"])
-                row, begin = row + 1, end
+            for group in groups(batch.column("doc"), ids, row):
+                yield group
+                row += 1
 
     return run
 
@@ -83,16 +92,19 @@ def _assemble(ids: str):
     return run
 
 
-def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the bytes that the identifiers stand for."""
-    doc = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(doc.alias("doc"))
-    kind = rows.schema["doc"].dataType.simpleString()
-    each = rows.mapInArrow(_explode(ids), f"doc {kind}, row long, at long, id int")
-    table = token_table(df.sparkSession, vocabulary)
+def joined(each: DataFrame, ids: str, vocabulary: str) -> DataFrame:
+    """doc and decoded, from groups of texts joined with the token-byte table."""
+    table = token_table(each.sparkSession, vocabulary)
     if sum(map(len, load_ranks(vocabulary))) <= TABLE_BYTES:
-        joined = each.join(F.broadcast(table), "id", "left")
+        rows = each.join(F.broadcast(table), "id", "left")
     else:
-        joined = each.join(table.hint("merge"), "id", "left").repartition("row").sortWithinPartitions("row", "at")
-    whole = joined.select("doc", "row", "at", "id", "token").mapInArrow(_assemble(ids), f"doc {kind}, decoded binary")
-    return whole.select(*[F.col(f"doc.`{c}`").alias(c) for c in df.columns if c != out], F.col("decoded").alias(out))
+        rows = each.join(table.hint("merge"), "id", "left").repartition("row").sortWithinPartitions("row", "at")
+    kind = each.schema["doc"].dataType.simpleString()
+    return rows.select("doc", "row", "at", "id", "token").mapInArrow(_assemble(ids), f"doc {kind}, decoded binary")
+
+
+def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """df with the bytes that the identifiers stand for."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
+    each = rows.mapInArrow(_explode(ids), f"doc {rows.schema['doc'].dataType.simpleString()}, row long, at long, id int")
+    return joined(each, ids, vocabulary).select(*[F.col(f"doc.`{c}`").alias(c) for c in df.columns if c != out], F.col("decoded").alias(out))
