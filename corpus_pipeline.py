@@ -42,7 +42,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN, carry=("doc_id", "source")), path)
+    out = byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN, carry=("doc_id", "source"))
     return out.select("doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
