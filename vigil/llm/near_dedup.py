@@ -8,13 +8,13 @@ process stops once its time is past the text's latest register, so most shingles
 agree in a register with probability equal to their weighted Jaccard similarity.
 
 Registers are banded, 21 bands of 6: a pair of similarity 0.8 shares a bucket with probability 0.998, one of 0.85 with
-0.9999. Pairs that share a bucket are candidates if their bag sizes and their register sketches (two bits of each register,
-so similarity 0.8 passes but for one pair in 100,000, and below 0.6 hardly any) allow the threshold; both are conditions of
+0.9999. Pairs that share a bucket are candidates if their bag sizes and their register sketches (four bits of each register,
+so 0.998 of pairs at similarity 0.8 pass, half of those at 0.69, and below 0.6 hardly any) allow the threshold; both are conditions of
 the join, so other pairs of a bucket are never rows. In a first round a bucket's texts are paired with one of them only, its
 leader by a random rank that differs from bucket to bucket, so each text of a group meets up to 21 others; links are verified on the
-whole bags. Where a bucket then holds several components, the texts outside the most frequent one are paired with all of
-the bucket's texts in other components. So a group of n texts of which a fair part are links costs about 21 n comparisons,
-and no candidate pair between two components is left out. Only texts with a candidate are fetched for verification. Equal
+whole bags. Where a bucket then holds several components, the texts outside the most frequent one meet another leader of that one, twice;
+then those that are still outside are paired with all of the bucket's texts in other components. So a group of n texts of which a fair part are links
+costs about 63 n comparisons, and no candidate pair between two components is left out. Only texts with a candidate are fetched for verification. Equal
 texts are one node from the start. Components of the links are the classes.
 
 Defined cases: equal texts share a class, null counting as empty; texts of one to four words have a single
@@ -40,8 +40,11 @@ from vigil.llm.packs import squeeze, unsqueeze
 from vigil.llm.shared import Work, chosen, identified
 
 SHINGLE, SIMILARITY, REGISTERS, BANDS = 5, 0.8, 126, 21
-#: Sketch bits in which two texts may differ. At similarity s a register differs with probability 3/4 (1 - s): at 0.8 in 18.9, standard deviation 4.
-DIFFERENT = 36
+#: Registers in which two sketches may differ. At similarity s a sketch differs in a register with probability 15/16 (1 - s): at 0.8 in 23.6, standard deviation 4.4.
+BITS, DIFFERENT = 4, 37
+#: Rounds after the first: in all but the last a bucket's unlinked texts meet one further leader of its most frequent component.
+LEADERS = 3
+PLANES = tuple(f"s{k}" for k in range(2 * BITS))
 #: Words whose hashes a task remembers, and texts whose registers are filled at a time.
 MEMO_WORDS, BATCH = 100_000, 512
 
@@ -104,11 +107,12 @@ def band_hashes(registers: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketches(registers: np.ndarray) -> np.ndarray:
-    """Two bits of every register's hash, for each row of registers as four integers: first bits, first bits, second bits, second bits."""
+    """BITS bits of every register's hash, for each row of registers as pairs of integers: the first bits of all registers, the second bits, and so on."""
     bits = mix(registers.view(np.uint64) * GOLD)
-    wide = np.zeros((len(bits), 2, 128), np.uint8)
-    wide[:, 0, : bits.shape[1]], wide[:, 1, : bits.shape[1]] = bits >> np.uint64(63), (bits >> np.uint64(62)) & np.uint64(1)
-    return np.packbits(wide.reshape(len(bits), 256), axis=1).view(np.int64)
+    wide = np.zeros((len(bits), BITS, 128), np.uint8)
+    for k in range(BITS):
+        wide[:, k, : bits.shape[1]] = (bits >> np.uint64(63 - k)) & np.uint64(1)
+    return np.packbits(wide.reshape(len(bits), -1), axis=1).view(np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,17 +164,31 @@ def _links(pairs: DataFrame, table: DataFrame, threshold: float, work: Work) ->
 
 def _close(x: str, y: str, threshold: float) -> Column:
     """Whether sizes and sketches allow the threshold."""
-    other = lambda k: F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))
-    apart = F.bit_count(other(0).bitwiseOR(other(2))) + F.bit_count(other(1).bitwiseOR(other(3)))
-    return (F.least(f"{x}.size", f"{y}.size") >= F.greatest(f"{x}.size", f"{y}.size") * threshold) & (apart <= DIFFERENT)
+    def apart(half: int) -> Column:
+        out = None
+        for k in range(half, 2 * BITS, 2):
+            other = F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))
+            out = other if out is None else out.bitwiseOR(other)
+        return F.bit_count(out)
+
+    fits = F.least(f"{x}.size", f"{y}.size") >= F.greatest(f"{x}.size", f"{y}.size") * threshold
+    return fits & (apart(0) + apart(1) <= DIFFERENT)
+
+
+def _linked(label: DataFrame, pairs: DataFrame, table: DataFrame, threshold: float, work: Work) -> DataFrame:
+    """label (rep, label of every text) after the links among these pairs: components of the components, over the links between them."""
+    ends = _links(pairs, table, threshold, work)
+    ends = ends.join(label.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b")
+    over = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), work).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return work.write(label.join(over, "label", "left").select("rep", F.coalesce("top", "label").alias("label")), "label")
 
 
 def _classes(table: DataFrame, threshold: float, work: Work) -> DataFrame:
-    """table: n, row, key, digest, size, bands, s0 to s3, packed. One row per row of it: row, key, class_id, class_size, n_copies, kept."""
+    """table: n, row, key, digest, size, bands, PLANES, packed. One row per row of it: row, key, class_id, class_size, n_copies, kept."""
     first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("n").alias("n")))
-    some = [F.any_value(c).alias(c) for c in ("bands", "size", "s0", "s1", "s2", "s3")]
+    some = [F.any_value(c).alias(c) for c in ("bands", "size", *PLANES)]
     texts = work.write(table.groupBy("digest").agg(F.min("n").alias("rep"), first.alias("first"), F.count("*").alias("copies"), *some), "texts")
-    sketch = texts.select("rep", "size", "s0", "s1", "s2", "s3")
+    sketch = texts.select("rep", "size", *PLANES)
     banded = texts.select("rep", F.explode("bands").alias("h"))
     rank = F.struct(F.xxhash64("rep", "h").alias("rank"), F.col("rep").alias("lead"))
     lead = banded.groupBy("h").agg(F.min(rank).alias("least"), F.count("*").alias("n")).filter("n > 1").select("h", F.col("least.lead").alias("lead"))
@@ -178,29 +196,33 @@ def _classes(table: DataFrame, threshold: float, work: Work) -> DataFrame:
     pairs = members.filter("rep <> lead").select("rep", "lead").distinct()
     pairs = pairs.alias("p").join(sketch.alias("x"), F.col("p.rep") == F.col("x.rep")).join(sketch.alias("y"), (F.col("p.lead") == F.col("y.rep")) & _close("x", "y", threshold))
     pairs = work.write(pairs.select(F.col("p.rep").alias("a"), F.col("p.lead").alias("b")), "pairs")
-    links = _links(pairs, table, threshold, work)
-    label = components(links, work)
-    # What a bucket holds besides its most frequent component: paired with the bucket's texts in all other components.
-    label = label.select(F.col("node").alias("rep"), "label")
-    known = work.write(members.select("h", "rep").join(label, "rep", "left").select("h", "rep", F.coalesce("label", "rep").alias("label")), "known")
-    work.drop(members)
-    shares = known.groupBy("h", "label").agg(F.count("*").alias("n"))
-    main = shares.groupBy("h").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("h", F.col("most.label").alias("main"))
-    mixed = work.write(known.join(main, "h").join(sketch, "rep"), "mixed")
-    x, y = mixed.filter("label <> main").alias("x"), mixed.alias("y")
-    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
-    more = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & once & _close("x", "y", threshold))
-    more = more.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
     done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = work.write(more.join(done, ["a", "b"], "left_anti"), "more")
-    work.drop(known, mixed)
-    label = work.write(texts.select("rep").join(label, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "label")
-    if not more.isEmpty():
-        # Components of the components, over the links between them.
-        ends = _links(more, table, threshold, work)
-        ends = ends.join(label.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b")
-        over = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), work).select(F.col("node").alias("label"), F.col("label").alias("top"))
-        label = work.write(label.join(over, "label", "left").select("rep", F.coalesce("top", "label").alias("label")), "label")
+    label = texts.select("rep", F.col("rep").alias("label"))
+    label = _linked(label, pairs, table, threshold, work)
+    # What a bucket holds besides its most frequent component: paired with another leader of that component, a few times, and then with
+    # the bucket's texts in all other components.
+    for turn in range(LEADERS):
+        known = work.write(members.select("h", "rep").join(label, "rep"), "known")
+        shares = known.groupBy("h", "label").agg(F.count("*").alias("n"))
+        main = shares.groupBy("h").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("h", F.col("most.label").alias("main"))
+        mixed = work.write(known.join(main, "h").join(texts.select("rep", "size", "bands", *PLANES), "rep"), "mixed")
+        x = mixed.filter("label <> main").alias("x")
+        if turn < LEADERS - 1:
+            least = F.min(F.struct(F.xxhash64("rep", "h", F.lit(turn)).alias("rank"), "rep", "label", "size", *PLANES))
+            y = mixed.filter("label = main").groupBy("h").agg(least.alias("y")).select("h", "y.*").alias("y")
+            more = x.join(y, (F.col("x.h") == F.col("y.h")) & _close("x", "y", threshold))
+        else:
+            y = mixed.alias("y")
+            once = (F.col("y.label") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
+            # A pair that shares several buckets is taken in the one with the smallest hash.
+            here = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.h")
+            more = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & once & _close("x", "y", threshold) & here)
+        more = more.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+        more = work.write(more.join(done, ["a", "b"], "left_anti"), "more")
+        work.drop(known, mixed)
+        if not more.isEmpty():
+            label = _linked(label, more, table, threshold, work)
+        done = done.union(more)
     named = work.write(texts.select("digest", "rep", "first", "copies").join(label, "rep"), "named")
     whole = named.groupBy("label").agg(F.min("first").alias("least"), F.sum("copies").alias("class_size"))
     cols = [F.col("least.key").alias("class_id"), F.col("least.n").alias("keep"), "class_size", F.col("copies").alias("n_copies")]
@@ -212,8 +234,9 @@ def _classes(table: DataFrame, threshold: float, work: Work) -> DataFrame:
 def _search(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """rows: doc, row."""
     work = Work(rows.sparkSession, "near")
+    planes = ", ".join(f"{p} long" for p in PLANES)
     table = rows.select(F.monotonically_increasing_id().alias("n"), "row", F.col(f"doc.`{key}`").cast("long").alias("key"), F.col(f"doc.`{text}`").cast("string").alias("text"))
-    schema = "n long, row struct<file: long, at: long>, key long, digest binary, size long, bands array<long>, s0 long, s1 long, s2 long, s3 long, packed binary"
+    schema = f"n long, row struct<file: long, at: long>, key long, digest binary, size long, bands array<long>, {planes}, packed binary"
     return _classes(work.write(table.mapInArrow(_sketch, schema), "table"), threshold, work)
 
 
