@@ -22,6 +22,8 @@ integer; only the columns named in `carry` are taken along, and one with an outp
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -77,9 +79,12 @@ class Windows:
         begin, end = self.offset[doc], self.offset[doc] + self.n_words[doc]
         span = place[:, None] + np.arange(-reach, SHINGLE + reach)
         inside = (span >= begin[:, None]) & (span < end[:, None])
-        # Numbers of the block's distinct words; 0 is no word.
+        # Numbers of the distinct words around anchors; 0 is no word.
         numbers: dict[bytes, int] = {}
-        local = np.fromiter((numbers.setdefault(w, len(numbers) + 1) for t in self.texts for w in t), np.uint32, len(self.words)) if len(place) else np.zeros(1, np.uint32)
+        near = np.unique(span[inside])
+        flat = list(chain.from_iterable(self.texts)) if len(near) else []
+        local = np.zeros(max(len(self.words), 1), np.uint32)
+        local[near] = np.fromiter((numbers.setdefault(flat[i], len(numbers) + 1) for i in near.tolist()), np.uint32, len(near))
         rows = np.where(inside, local[np.where(inside, span, 0)], np.uint32(0))
         distinct, number = _distinct(rows)
         least = np.full(len(distinct), np.iinfo(np.int64).max)
