@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import byte_bpe, exact_dedup, lm_score, mixing, near_dedup, quality, site_style, substring_dedup, token_counts, toxicity
+from vigil.llm import byte_bpe, contamination, exact_dedup, lm_score, mixing, near_dedup, quality, site_style, substring_dedup, token_counts, toxicity, variants
 
 
 def registry() -> dict:
@@ -17,4 +17,6 @@ def registry() -> dict:
         "op8_exact_dedup": (exact_dedup.op8_exact_dedup, exact_dedup.SQL),
         "op9_mix_sources": (mixing.op9_mix_sources, mixing.SQL),
         "op10_near_dedup": (near_dedup.op10_near_dedup, None),
+        "op11_decontaminate": (contamination.op11_decontaminate, contamination.SQL),
+        "op12_spelling_variants": (variants.op12_spelling_variants, None),
     }
