@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import byte_bpe, contamination, exact_dedup, lm_score, mixing, near_dedup, quality, site_style, substring_dedup, token_counts, toxicity, variants
+from vigil.llm import byte_bpe, codes, contamination, exact_dedup, lm_score, mixing, near_dedup, quality, site_style, substring_dedup, token_counts, toxicity, variants
 
 
 def registry() -> dict:
@@ -19,4 +19,5 @@ def registry() -> dict:
         "op10_near_dedup": (near_dedup.op10_near_dedup, None),
         "op11_decontaminate": (contamination.op11_decontaminate, contamination.SQL),
         "op12_spelling_variants": (variants.op12_spelling_variants, None),
+        "op13_vector_codes": (codes.op13_vector_codes, codes.SQL),
     }
