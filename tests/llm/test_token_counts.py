@@ -37,6 +37,13 @@ def test_random_texts_equal_the_library(text):
     assert text_tokens([text], PATH) == library([text])
 
 
+def test_every_code_point_equals_the_library():
+    """Between letters, between a digit and marks, and alone: in all planes that have characters, with what Python's tables don't know."""
+    points = [c for c in [*range(0x40000), *range(0xE0000, 0xE0200), 0xF0000, 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"ab{chr(c)}cd 12{chr(c)}!? {chr(c)}" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    assert text_tokens(texts, PATH) == library(texts)
+
+
 def test_query_equals_the_library(spark, sf):
     got = {r.doc_id: r for r in op1_token_counts(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()

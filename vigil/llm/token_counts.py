@@ -25,12 +25,59 @@ from vigil.llm.shared import SPACE
 
 #: Words that a task's memo holds before it starts anew; this bounds memory, never the result.
 MEMO_WORDS = 300_000
-# The vocabulary's normaliser and splitter (canonical composition, lower case, then these matches).
-PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+# The vocabulary's normaliser and splitter (canonical composition, lower case, then these matches; L and N are classes).
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{SPACE}{L}{N}]+"
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _EXTRA_CONTROLS = re.compile(r"[\x1c-\x1f]")
 
 
+#: Planes with letters and numbers; the others have none.
+_PLANES = range(0x80, 0x40000)
+
+
+def _class(points: list[int]) -> str:
+    """Sorted code points as the inside of a character class."""
+    out, first, last = [], None, None
+    for c in [*points, None]:
+        if first is not None and c == last + 1:
+            last = c
+            continue
+        if first is not None:
+            out.append(f"\\U{first:08x}-\\U{last:08x}")
+        first = last = c
+    return "".join(out)
+
+
+class Letters:
+    """Letters and numbers as the vocabulary's own library has them, and the code points that Python's tables don't know.
+
+    Both follow Unicode, in versions of their own. What is assigned in Python's tables keeps its category; of the rest the library
+    is asked by how its splitter treats the code point between letters and between marks.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normal = library.normalizer.normalize_str
+        by = {"L": [*map(ord, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")], "N": [*map(ord, "0123456789")], "Cn": []}
+        for c in _PLANES:
+            kind = unicodedata.category(chr(c))
+            by.get(kind if kind == "Cn" else kind[0], []).append(c)
+        self.unknown = re.compile(f"[{_class(by['Cn'])}]")
+        split = library.pre_tokenizer.pre_tokenize_str
+        alone = lambda c, mark: len(split(f"{mark}{chr(c)}{mark}"))
+        for c in by["Cn"]:
+            if alone(c, "a") == 1:
+                by["L"].append(c)
+            elif alone(c, "!") == 3:
+                by["N"].append(c)
+        self.letters, self.numbers = (_class(sorted(by[k])) for k in "LN")
+
+    def pieces(self) -> str:
+        return PIECES.replace("{L}", self.letters).replace("{N}", self.numbers).replace("{SPACE}", SPACE)
+
+
 class WordCounts(dict):
     """Lower-case word -> number of tokens, filled on demand."""
 
@@ -40,7 +87,8 @@ class WordCounts(dict):
         self.ranks, special, self.suffix = load_word_bpe(path)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.marks = {t[:2] for t in special}  # a quick look ahead of the pattern
-        self.pieces = regex.compile(PIECES)
+        self.letters = Letters(path)
+        self.pieces = regex.compile(self.letters.pieces())
         self.space = regex.compile(f"[{SPACE}]+")
         self.symbols = byte_symbols()
 
@@ -65,6 +113,8 @@ class WordCounts(dict):
     def section(self, text: str) -> int:
         if not text.isascii():
             # The library lower-cases character by character, so a final capital sigma isn't special.
+            if self.letters.unknown.search(text):
+                text = self.letters.normal(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         found = self.space.split(text) if _EXTRA_CONTROLS.search(text) else text.split()
@@ -93,7 +143,7 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int
     def tokens(s: pd.Series) -> pd.Series:
         return pd.Series(text_tokens([x if isinstance(x, str) else None for x in s], vocabulary), dtype="int64")
 
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     return df.withColumns({"n_bytes": F.octet_length(whole).cast("long"), "n_tokens": tokens(whole)}).withColumn("over_limit", F.col("n_tokens") > limit)
 
 

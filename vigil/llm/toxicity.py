@@ -186,7 +186,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             _KNOWN[token] = _WordScores(sent.value)
         return pd.Series(score_texts([x if isinstance(x, str) else None for x in s], sent.value, _KNOWN[token]))
 
-    return df.withColumn("score", scores(F.col(text).cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return df.withColumn("score", scores(F.col(f"`{text}`").cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
