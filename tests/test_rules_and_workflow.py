@@ -53,3 +53,23 @@ def test_chains(spark):
     assert fam == {"change": ("patch", 1.0, 0.333), "root_cause": ("disk", 1.0, 0.667)}
     edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("d", "e", "x")], "src_id string, dst_id string, rel_type string")
     assert chains.neighbourhood(edges, "b").count() == 2
+
+
+def test_needed_literals_never_hide_a_match():
+    """A text that a rule matches, in any case, contains one of the literals that are looked for first."""
+    import re
+
+    from vigil.functions import lexicon, rules
+    from vigil.plans.records import DESCRIPTIONS, NOTES
+
+    assert rules.needed(r"out of (?:memory|heap)|\boom\b") == ("oom", "out of ")
+    assert rules.needed(r"\d+%|x") == () and rules.needed(r"(?:ab)?cde+f?") == ("cd",) and rules.needed(r"(?:ab)+") == ("ab",)
+    texts = [t for t in (*DESCRIPTIONS, *NOTES) if t] + ["ÎLE SQL DB", "the JVM heap is exhausted", "DISK 99% full"]
+    tables = (lexicon.COMPONENTS, lexicon.TRIGGERS, lexicon.ENVIRONMENTS, lexicon.DEPENDENCIES, lexicon.SCOPES, lexicon.SYMPTOMS, lexicon.ROOT_CAUSES)
+    seen = 0
+    for rule in (r for t in tables for r in t):
+        for text in (x for t in texts for x in (t, t.upper())):
+            if re.search(rule.pattern, text, re.IGNORECASE | re.ASCII):
+                seen += 1
+                assert any(w in text.lower() for w in rules.needed(rule.pattern) or [""])
+    assert seen > 50

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache, reduce
+from operator import or_
+from re import _parser as _regex
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,20 +19,60 @@ class Rule:
     concepts: tuple[str, ...] = ()  # terms that the label stands for
 
 
-def _hits(c: Column, rule: Rule) -> Column:
-    return c.rlike(f"(?i){rule.pattern}")
+def _better(a: list[str] | None, b: list[str] | None) -> list[str] | None:
+    """The set of literals that a text is less likely to contain: the one whose shortest is longer, then the smaller one."""
+    if not a or not b:
+        return a or b
+    return max(a, b, key=lambda x: (min(map(len, x)), -len(x)))
 
 
-def first_match(c: Column, rules: list[Rule], default: str | None = "Unknown") -> Column:
+def _needed(nodes) -> list[str] | None:
+    best, run = None, ""
+    for op, arg in [*nodes, (None, None)]:
+        if op == _regex.LITERAL:
+            run += chr(arg).lower()
+            continue
+        best, run = _better(best, [run] if run else None), ""
+        if op == _regex.SUBPATTERN:
+            best = _better(best, _needed(arg[-1]))
+        elif op in (_regex.MAX_REPEAT, _regex.MIN_REPEAT) and arg[0] > 0:
+            best = _better(best, _needed(arg[2]))
+        elif op == _regex.BRANCH:
+            each = [_needed(b) for b in arg[1]]
+            if all(each):
+                best = _better(best, sorted({x for e in each for x in e}))
+    return best
+
+
+@cache
+def needed(pattern: str) -> tuple[str, ...]:
+    """Lower-case literals of which every text that the pattern matches, in any case, contains one; none if there is no such set."""
+    return tuple(_needed(_regex.parse(pattern)) or ())
+
+
+def found(c: Column, pattern: str, low: Column | None = None) -> Column:
+    """Whether a pattern matches in any case. low: the text in lower case, in which the pattern's literals are looked for first, as that costs far less."""
+    hit = c.rlike(f"(?i){pattern}")
+    words = needed(pattern)
+    if low is None or not words:
+        return hit
+    return reduce(or_, [F.contains(low, F.lit(w)) for w in words]) & hit
+
+
+def _hits(c: Column, rule: Rule, low: Column | None = None) -> Column:
+    return found(c, rule.pattern, low)
+
+
+def first_match(c: Column, rules: list[Rule], default: str | None = "Unknown", low: Column | None = None) -> Column:
     out = None
     for r in rules:
-        out = F.when(_hits(c, r), r.label) if out is None else out.when(_hits(c, r), r.label)
+        out = F.when(_hits(c, r, low), r.label) if out is None else out.when(_hits(c, r, low), r.label)
     return out.otherwise(F.lit(default)) if out is not None else F.lit(default)
 
 
-def all_matches(c: Column, rules: list[Rule]) -> Column:
+def all_matches(c: Column, rules: list[Rule], low: Column | None = None) -> Column:
     """Labels of all rules that match, in rule order, each once."""
-    return F.array_distinct(F.array_compact(F.array(*[F.when(_hits(c, r), r.label) for r in rules])))
+    return F.array_distinct(F.array_compact(F.array(*[F.when(_hits(c, r, low), r.label) for r in rules])))
 
 
 def evidence(c: Column, rules: list[Rule]) -> Column:
@@ -40,19 +83,19 @@ def evidence(c: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def first_hit(c: Column, rules: list[Rule]) -> Column:
+def first_hit(c: Column, rules: list[Rule], low: Column | None = None) -> Column:
     """label, group and phrase (the words matched) of the first rule that matches; null if none does."""
     out = None
     for r in rules:
         group = F.lit(r.group or None).cast("string")
         hit = F.struct(F.lit(r.label).alias("label"), group.alias("group"), F.regexp_extract(c, f"(?i){r.pattern}", 0).alias("phrase"))
-        out = F.when(_hits(c, r), hit) if out is None else out.when(_hits(c, r), hit)
+        out = F.when(_hits(c, r, low), hit) if out is None else out.when(_hits(c, r, low), hit)
     return out
 
 
-def concepts(c: Column, rules: list[Rule]) -> Column:
+def concepts(c: Column, rules: list[Rule], low: Column | None = None) -> Column:
     """The concepts of all rules that match, in rule order, each once."""
-    return F.array_distinct(F.flatten(F.array_compact(F.array(*[F.when(_hits(c, r), F.array(*map(F.lit, r.concepts))) for r in rules if r.concepts]))))
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*[F.when(_hits(c, r, low), F.array(*map(F.lit, r.concepts))) for r in rules if r.concepts]))))
 
 
 def matches(c: Column, pattern: str) -> Column:
