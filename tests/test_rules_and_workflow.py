@@ -63,7 +63,7 @@ def test_needed_literals_never_hide_a_match():
     from vigil.plans.records import DESCRIPTIONS, NOTES
 
     assert rules.needed(r"out of (?:memory|heap)|\boom\b") == ("oom", "out of ")
-    assert rules.needed(r"\d+%|x") == () and rules.needed(r"(?:ab)?cde+f?") == ("cd",) and rules.needed(r"(?:ab)+") == ("ab",)
+    assert rules.needed(r"\d+%|x") == ("%", "x") and rules.needed(r"\d+") == () and rules.needed(r"(?:ab)?cde+f?") == ("cd",) and rules.needed(r"(?:ab)+") == ("ab",)
     texts = [t for t in (*DESCRIPTIONS, *NOTES) if t] + ["ÎLE SQL DB", "the JVM heap is exhausted", "DISK 99% full"]
     tables = (lexicon.COMPONENTS, lexicon.TRIGGERS, lexicon.ENVIRONMENTS, lexicon.DEPENDENCIES, lexicon.SCOPES, lexicon.SYMPTOMS, lexicon.ROOT_CAUSES)
     seen = 0
