@@ -10,12 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.math import dot
-
+from vigil.functions.text import normalize_text
 
 #: Rows of a block of vectors. A task holds two blocks; the number of blocks grows with the rows.
 BLOCK = 2048
 
 
+def content(*fields: str) -> Column:
+    """What exact duplicates have in common: the normalised texts of these columns."""
+    return F.concat_ws("|", *[normalize_text(F.coalesce(f, F.lit(""))) for f in fields])
+
+
 def duplicate_groups(df: DataFrame, key: str, content: Column) -> DataFrame:
     """key and dup_group, the smallest key with the same content. Contents are hashed once, before anything is shuffled."""
     checkpoints(df.sparkSession)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vigil.functions import clean, lexicon, rules, text
 from vigil.operators import fingerprints, groups, quality
 from vigil.plans.catalog import query
-from vigil.plans.records import RECORDS, case, mapped, q, records
+from vigil.plans.records import RECORDS, case, content_sql, mapped, q, records
 from vigil.session import table
 
 _TEXT = {"component": lexicon.COMPONENTS, "trigger": lexicon.TRIGGERS, "environment": lexicon.ENVIRONMENTS, "dependency": lexicon.DEPENDENCIES, "impact_scope": lexicon.SCOPES}
@@ -144,7 +144,7 @@ _DOT = "list_dot_product({}::DOUBLE[], {}::DOUBLE[])"
 _NEAR = f"""
 WITH v AS (SELECT r.*, e.embedding AS about, (SELECT o.embedding FROM embeddings o WHERE o.vec_id = (e.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings)) AS fix
            FROM {RECORDS} r JOIN embeddings e ON e.vec_id = r.k),
-g AS (SELECT *, min(incident_id) OVER (PARTITION BY concat_ws('|', coalesce(title, ''), coalesce(description, ''), coalesce(resolution_notes, ''))) AS dup_group, trim(coalesce(resolution_notes, '')) AS note FROM v),
+g AS (SELECT *, min(incident_id) OVER (PARTITION BY {content_sql('title', 'description', 'resolution_notes')}) AS dup_group, trim(coalesce(resolution_notes, '')) AS note FROM v),
 u AS (SELECT *, {_DETAIL} > 0.2 AS usable FROM g),
 n AS (SELECT a.incident_id, {_DOT.format('a.fix', 'b.fix')} AS s, row_number() OVER (PARTITION BY a.incident_id ORDER BY {_DOT.format('a.about', 'b.about')} DESC, b.k) AS rank
       FROM u a JOIN u b ON b.usable AND a.dup_group <> b.dup_group),
@@ -163,7 +163,7 @@ def quality_assess(spark, sf):
     n = e.count()
     about, fix = e.select(F.col("vec_id").alias("k"), F.col("embedding").alias("about")), e.select(F.col("vec_id").alias("j"), F.col("embedding").alias("fix"))
     rows = records(spark, sf).join(about, "k").withColumn("j", (F.col("k") * 7 + 3) % n).join(fix, "j", "left").drop("j")
-    content = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("title", "description", "resolution_notes")])
+    content = groups.content("title", "description", "resolution_notes")
     groups.checkpoints(spark)
     rows = rows.join(groups.duplicate_groups(rows, "incident_id", content), "incident_id").checkpoint()
     near = quality.consistency(rows, "k", "dup_group", "about", "fix", quality.detail(F.col("resolution_notes"))["score"] > quality.USABLE)

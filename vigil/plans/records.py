@@ -97,6 +97,12 @@ def _sql() -> str:
 RECORDS = _sql()
 
 
+def content_sql(*fields: str) -> str:
+    """What exact duplicates have in common: normalised texts."""
+    plain = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return " || '|' || ".join(plain.format(f) for f in fields)
+
+
 def case(rules: list, c: str, give: str = "label") -> str:
     """The first rule that matches c: its label, group or phrase; else null."""
     then = {"label": lambda r: q(r.label), "group": lambda r: q(r.group or None), "phrase": lambda r: f"regexp_extract({c}, {q('(?i)' + r.pattern)}, 0)"}[give]
