@@ -93,7 +93,10 @@ class WordCounts(dict):
         self.symbols = byte_symbols()
 
     def __missing__(self, word: str) -> int:
-        found = (_ASCII_PIECES if word.isascii() else self.pieces).findall(word)
+        if word.isascii():
+            found = _ASCII_PIECES.findall(word)
+        else:  # normalising is idempotent and doesn't cross white space, so a word can be taken to the library's version of it
+            found = self.pieces.findall(self.letters.normal(word) if self.letters.unknown.search(word) else word)
         n = self[word] = sum(map(self.piece, found))
         return n
 
@@ -113,8 +116,6 @@ class WordCounts(dict):
     def section(self, text: str) -> int:
         if not text.isascii():
             # The library lower-cases character by character, so a final capital sigma isn't special.
-            if self.letters.unknown.search(text):
-                text = self.letters.normal(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         found = self.space.split(text) if _EXTRA_CONTROLS.search(text) else text.split()
