@@ -47,15 +47,16 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 def components_by_threshold(nodes: DataFrame, forest: DataFrame, thresholds: list[float], key: str) -> DataFrame:
     """threshold, key, root for every node: the smallest node of its component at each threshold. Thresholds are taken from the highest down; each merges what the one before left."""
     checkpoints(nodes.sparkSession)
-    now = nodes.select(F.col(key), F.col(key).alias("root")).distinct().checkpoint()
+    now, forest = nodes.select(F.col(key), F.col(key).alias("root")).distinct().checkpoint(), forest.checkpoint()
     out, above = None, None
     for t in sorted(thresholds, reverse=True):
         band = forest.filter((F.col("score") >= t) & (F.lit(True) if above is None else F.col("score") < above))
         at = now.select(F.col(key).alias("a"), F.col("root").alias("ra"))
         to = now.select(F.col(key).alias("b"), F.col("root").alias("rb"))
-        links = band.join(at, "a").join(to, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        merged = component_roots(now.select(F.col("root").alias("node")).distinct(), links, "node").select(F.col("node").alias("root"), F.col("root").alias("new"))
-        now = now.join(merged, "root").select(key, F.col("new").alias("root")).checkpoint()
+        if not band.isEmpty():  # else the components of the threshold above
+            links = band.join(at, "a").join(to, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            merged = component_roots(now.select(F.col("root").alias("node")).distinct(), links, "node").select(F.col("node").alias("root"), F.col("root").alias("new"))
+            now = now.join(merged, "root").select(key, F.col("new").alias("root")).checkpoint()
         part = now.select(F.lit(float(t)).alias("threshold"), key, "root")
         out, above = part if out is None else out.unionByName(part), t
     return out
@@ -63,7 +64,7 @@ def components_by_threshold(nodes: DataFrame, forest: DataFrame, thresholds: lis
 
 def sweep(labelled: DataFrame, edges: DataFrame, thresholds: list[float], key: str, label: str) -> DataFrame:
     """threshold, components, largest, and pairwise precision, recall and f1 of components against labels, from contingency counts. A null label is a label."""
-    parts = components_by_threshold(labelled, spanning_forest(edges), thresholds, key).join(labelled.select(key, label), key)
+    parts = components_by_threshold(labelled, spanning_forest(edges), thresholds, key).join(labelled.select(key, label), key).checkpoint()
     pairs = lambda *by: parts.groupBy("threshold", *by).agg(F.count("*").alias("n"))
     two = F.sum(F.col("n") * (F.col("n") - 1) / 2)
     held = pairs("root").groupBy("threshold").agg(F.count("*").alias("components"), F.max("n").alias("largest"), two.alias("together"))
