@@ -123,3 +123,17 @@ def test_burst_as_stream(spark, tmp_path):
     q = correlate_stream(stream).writeStream.format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     check(spark.table("bursts").collect())
+
+
+def test_json_in_prose(spark):
+    from pyspark.sql import functions as F
+
+    from vigil.functions import text
+
+    cases = {
+        'Sure!\n```json\n{"a": 1}\n```': '{"a": 1}', '```json\n{"a": [1, 2]}\n```': '{"a": [1, 2]}', "```\n[1, 2]\n``` done": "[1, 2]", 'so [1, {"x": "}"}] it is': '{"x": "}"}',
+        "no json": None, "": None, None: None, "{broken": None, "{broken} [1]": "[1]", 'x {"s": "a \\" } b"} y': '{"s": "a \\" } b"}', "} {": None,
+    }
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
+    got = [r.j for r in df.select("i", text.json_in_prose(F.col("c")).alias("j")).orderBy("i").collect()]
+    assert got == list(cases.values())

@@ -132,3 +132,21 @@ def render(template: str, **values: Column) -> Column:
         m = re.fullmatch(r"([^{]*)\{(\w+)\}(.*)", word)
         words.append(F.concat(F.lit(m[1]), values[m[2]], F.lit(m[3])) if m else F.lit(word))
     return F.concat_ws(" ", *words)
+
+
+def json_in_prose(c: Column) -> Column:
+    """The JSON object in a reply, from its first opening brace to its last closing one, else the array likewise; null if neither parses.
+
+    A reply that begins with a code fence is read inside it.
+    """
+    s = F.trim(c)
+    inside = F.regexp_replace(F.regexp_replace(s, r"^[^\n]*\n", ""), r"(?s)```(?!.*```).*$", "")
+    s = F.when(s.startswith("```"), inside).otherwise(s)
+
+    def between(opener: str, closer: str) -> Column:
+        first = F.instr(s, opener)
+        last = F.length(s) - F.instr(F.reverse(s), closer) + 1
+        part = F.when((first > 0) & F.contains(s, F.lit(closer)) & (last > first), F.substring(s, first, last - first + 1))
+        return F.when(F.try_parse_json(part).isNotNull(), part)
+
+    return F.coalesce(between("{", "}"), between("[", "]"))

@@ -264,3 +264,22 @@ def text_rich_category(spark, sf):
 @query("closure_classes", f"SELECT cls, count(*) AS n FROM (SELECT CASE WHEN closure_code IS NULL OR closure_code = '' THEN 'Unknown' ELSE coalesce({mapped('lower(closure_code)', clean.CLOSURE_CLASSES)}, 'unspecified') END AS cls FROM {RECORDS}) GROUP BY cls")
 def closure_classes(spark, sf):
     return records(spark, sf).groupBy(clean.closure_class(F.col("closure_code")).alias("cls")).agg(F.count("*").alias("n"))
+
+
+_REPLY = """CASE doc_id % 5 WHEN 0 THEN '```json' || chr(10) || o || chr(10) || '``` and more' WHEN 1 THEN coalesce(text, '') || ' Here it is: ' || o || ' (end).' WHEN 2 THEN 'A list: [' || doc_id || ', "x", null] of three'
+  WHEN 3 THEN text ELSE 'Broken {"id": ' || doc_id || ', and a list [1, 2]' END"""
+
+
+@query("json_in_prose", f"""
+WITH d AS (SELECT doc_id, {_REPLY} AS reply FROM (SELECT *, '{{"id": ' || doc_id || ', "lang": "' || coalesce(lang, '?') || '", "deep": {{"a": [1, "}}"]}}}}' AS o FROM documents)),
+s AS (SELECT doc_id, CASE WHEN starts_with(trim(reply), '```') THEN regexp_replace(regexp_replace(trim(reply), '^[^\\n]*\\n', ''), '```[^`]*$', '') ELSE trim(reply) END AS s FROM d),
+p AS (SELECT doc_id, nullif(regexp_extract(s, '(?s)\\{{.*\\}}', 0), '') AS a, nullif(regexp_extract(s, '(?s)\\[.*\\]', 0), '') AS b FROM s)
+SELECT doc_id, CASE WHEN json_valid(a) THEN a WHEN json_valid(b) THEN b END AS found FROM p""")
+def json_in_prose(spark, sf):
+    o = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "lang": "'), F.coalesce("lang", F.lit("?")), F.lit('", "deep": {"a": [1, "}"]}}'))
+    n = F.col("doc_id") % 5
+    fenced, said = F.concat(F.lit("```json\n"), o, F.lit("\n``` and more")), F.concat(F.coalesce("text", F.lit("")), F.lit(" Here it is: "), o, F.lit(" (end)."))
+    listed = F.concat(F.lit("A list: ["), F.col("doc_id").cast("string"), F.lit(', "x", null] of three'))
+    broken = F.concat(F.lit('Broken {"id": '), F.col("doc_id").cast("string"), F.lit(", and a list [1, 2]"))
+    reply = F.when(n == 0, fenced).when(n == 1, said).when(n == 2, listed).when(n == 3, F.col("text")).otherwise(broken)
+    return table(spark, sf, "documents").select("doc_id", text.json_in_prose(reply).alias("found"))
