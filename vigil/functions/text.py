@@ -150,3 +150,14 @@ def json_in_prose(c: Column) -> Column:
         return F.when(F.try_parse_json(part).isNotNull(), part)
 
     return F.coalesce(between("{", "}"), between("[", "]"))
+
+
+def clip(c: Column, size: int) -> Column:
+    """One line of at most so many characters: white space is one space; what is longer ends in three dots. Null is the empty line."""
+    line = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.when(F.length(line) <= size, line).otherwise(F.concat(F.rtrim(F.substring(line, 1, size - 3)), F.lit("...")))
+
+
+def looks_like_key(c: Column) -> Column:
+    """Whether a setting could be an access key: one word of visible ASCII that doesn't start as a comment."""
+    return F.coalesce(F.trim(c).rlike(r"^[\x21\x22\x24-\x7E][\x21-\x7E]*$"), F.lit(False))

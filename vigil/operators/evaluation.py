@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.measures import running
+
 
 def uniform(*parts: Column, salt: str = "") -> Column:
     """A number in (0, 1) from a hash of the parts, the same in every run and in any engine that has MD5."""
@@ -56,10 +58,10 @@ def clustering(df: DataFrame, cluster: str, truth: str) -> DataFrame:
 def sampled_pairs(df: DataFrame, key: str, cluster: str, truth: str, pairs: int, salt: str = "pairs") -> DataFrame:
     """Precision, recall and F1 over pairs of rows drawn at random (a sampling operator): one row. Rows are numbered 0 to n - 1 by key.
 
-    Each draw picks two positions by a hash; positions join back, so nothing is gathered. Draws of one row with itself don't count.
+    Each draw picks two positions by a hash; positions are running counts over ranges of the key (a number, not null) and join back, so nothing is gathered. Draws of one row with itself don't count.
     """
-    numbered = df.select(F.col(key).alias("i"), F.col(cluster).alias("c"), F.col(truth).alias("t")).orderBy("i")
-    rows = numbered.withColumn("pos", F.row_number().over(Window.orderBy("i")) - 1)
+    numbered = df.select(F.col(key).alias("i"), F.col(cluster).alias("c"), F.col(truth).alias("t"), F.lit(1).alias("pos"))
+    rows = running(numbered, "i", ["pos"]).drop("pos").withColumnRenamed("pos_before", "pos")
     n = df.agg(F.count("*").alias("n"))
     at = lambda side: F.floor(uniform(F.col("d"), F.lit(side), salt=salt) * F.col("n"))
     draws = df.sparkSession.range(pairs).withColumnRenamed("id", "d").join(F.broadcast(n)).select("d", at("a").alias("a"), at("b").alias("b")).filter("a <> b")

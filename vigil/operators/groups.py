@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -104,6 +105,18 @@ def checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder)
 
 
+def work_path(spark: SparkSession, what: str) -> str:
+    """A fresh path for a work table in the checkpoint folder."""
+    checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a work table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def component_roots(nodes: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """key and root, the smallest node that links (a, b) connect it with, by large and small stars until nothing moves.
 

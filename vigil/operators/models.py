@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.operators import trees
+
+#: What is known of a case when it is opened.
+OPEN_CATEGORIES = ["ci_group", "ci_subcategory", "impact", "urgency", "priority"]
+OPEN_NUMBERS = ["open_hour", "open_weekday"]
+
 
 def balanced(df: DataFrame, label: str, least: int = 5) -> DataFrame:
     """Rows of classes with at least `least` rows, with weights that make the classes count alike."""
@@ -62,3 +70,38 @@ def ordinal(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
     words = fitted.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(f"__{c}") for c in columns])
     code = lambda c: F.coalesce(F.array_position(F.col(f"__{c}"), F.col(c).cast("string")) - 1, F.lit(-1)).cast("int")
     return df.join(F.broadcast(words)).withColumns({f"{c}_code": code(c) for c in columns}).drop(*[f"__{c}" for c in columns])
+
+
+def open_frame(df: DataFrame) -> DataFrame:
+    """df with open_hour and open_weekday (Monday is 0): what is known of a case when it is opened; -1 without a time."""
+    t = F.col("open_time")
+    return df.withColumns({"open_hour": F.coalesce(F.hour(t), F.lit(-1)), "open_weekday": F.coalesce(F.weekday(t), F.lit(-1))})
+
+
+def resolve_frame(df: DataFrame) -> DataFrame:
+    """df with log_resolution_hours and no_of_reassignments: what is known of a case when it is resolved; 0 for nulls and negative hours."""
+    hours = F.greatest(F.coalesce(F.col("resolution_hours").cast("double"), F.lit(0.0)), F.lit(0.0))
+    return df.withColumns({"log_resolution_hours": F.log1p(hours), "no_of_reassignments": F.coalesce("reassignments", F.lit(0))})
+
+
+def rates(df: DataFrame, train: Column, keys: list[str], label: str, weight: int = 5) -> DataFrame:
+    """df with rate: the share of positive labels among training rows of equal keys, drawn towards the share of all of them as if by `weight` further rows. 0/1 labels; null ones don't count."""
+    y = F.when(train, F.col(label).cast("int"))
+    per = df.groupBy(*keys).agg(F.coalesce(F.sum(y), F.lit(0)).alias("__p"), F.count(y).alias("__n"))
+    whole = per.agg((F.sum("__p") / F.sum("__n")).alias("__base"))  # one row
+    per = per.join(F.broadcast(whole)).select(*[F.col(k).alias(f"__{k}") for k in keys], ((F.col("__p") + weight * F.col("__base")) / (F.col("__n") + weight)).alias("rate"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return df.join(per, same, "left").drop(*[f"__{k}" for k in keys])
+
+
+def resolution_trees(df: DataFrame, cut, rounds: int = 40, depth: int = 3) -> trees.QuantileTrees:
+    """Quartiles of log1p hours from what is known at the start, learnt from cases opened up to a time."""
+    known = open_frame(df).filter((F.col("open_time") <= F.lit(cut)) & (F.col("resolution_hours") >= 0)).withColumn("__y", F.log1p("resolution_hours"))
+    return trees.fit(known, "__y", OPEN_CATEGORIES, OPEN_NUMBERS, [0.25, 0.5, 0.75], rounds, depth)
+
+
+def resolution_hours(model: trees.QuantileTrees, df: DataFrame) -> DataFrame:
+    """df with low, median and high: predicted hours, not below 0."""
+    names = ("low", "median", "high")
+    out = model.predict(open_frame(df), [f"__{n}" for n in names])
+    return out.withColumns({n: F.greatest(F.expm1(f"__{n}"), F.lit(0.0)) for n in names}).drop("open_hour", "open_weekday", *[f"__{n}" for n in names])
