@@ -8,12 +8,12 @@ rows give the same trees in any number of tasks and after any retry. Predictions
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators.groups import remove, work_path
@@ -22,6 +22,11 @@ from vigil.operators.groups import remove, work_path
 CELLS = 2048
 
 
+def _below(edges: Column, v: Column) -> Column:
+    """How many edges lie below a value."""
+    return F.size(F.filter(edges, lambda e: e < v))
+
+
 @dataclass
 class Binner:
     """How columns become bins: categories by their sorted values, numbers by cuts; 0 is what is null or was not seen when it was fitted."""
@@ -49,7 +54,7 @@ class Binner:
             cuts = {c: sorted(set(row[c] or [])) for c in numeric}
         return Binner(seen, cuts)
 
-    def columns(self) -> list:
+    def columns(self) -> list[Column]:
         """One array column of bins per row."""
         out = []
         for c, values in self.categories.items():
@@ -58,7 +63,7 @@ class Binner:
         for c, cuts in self.cuts.items():
             v = F.col(c).cast("double")
             edges = F.array(*[F.lit(float(e)) for e in cuts]) if cuts else F.array().cast("array<double>")
-            out.append(F.when(v.isNull() | F.isnan(v), 0).otherwise(1 + F.size(F.filter(edges, lambda e, v=v: e < v))).cast("int"))
+            out.append(F.when(v.isNull() | F.isnan(v), 0).otherwise(1 + _below(edges, v)).cast("int"))
         return out
 
 
@@ -211,7 +216,7 @@ def _advanced(state: DataFrame, pending: list[list[Tree]], rate: float) -> DataF
     return state.mapInPandas(run, state.schema)
 
 
-def _summed(state: DataFrame, per_task) -> np.ndarray:
+def _summed(state: DataFrame, per_task: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
     """Counts that each task has made over its batches, by place, summed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

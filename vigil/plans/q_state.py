@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions import lexicon
-from vigil.operators import ranking, workflow
+from vigil.operators import groups, ranking, workflow
 from vigil.plans.catalog import query
 from vigil.plans.records import RECORDS, mapped, records
 from vigil.session import table
+from vigil.streaming import evolution
 
 _ESC = "(SELECT event_id AS escalation_id, event_id AS created_seq, (['L1', 'L2', 'L3'])[(event_id % 3 + 1)::INT] AS tier FROM events)"
 
@@ -198,3 +199,29 @@ def ranked_resolutions(spark, sf):
         F.col("resolution_notes_source").alias("provenance"), F.coalesce("resolution_notes", F.lit("")).alias("note"),
     )
     return ranking.rank_resolutions(e, "query_id").select("query_id", "strategy", F.round("mass", 9).alias("mass"), F.round("confidence", 9).alias("confidence"), "step", "allowed", "rank")
+
+
+_RESET = "Reset password, account unlocked."
+
+
+@query("evolution_batch", f"""
+WITH r AS (SELECT k, incident_id, nullif(resolution_notes, '') AS notes, resolution_hours AS hours FROM {RECORDS}),
+m AS (SELECT *, notes IS NULL AND k % 3 = 0 AS mended FROM r)
+SELECT incident_id, CASE WHEN (notes IS NOT NULL OR mended) AND hours IS NOT NULL THEN 'added' ELSE 'failed' END AS status,
+CASE WHEN notes IS NULL AND NOT mended THEN 'no resolution notes' WHEN hours IS NULL THEN 'not resolved' END AS reason,
+CASE WHEN mended THEN '{_RESET}' ELSE notes END AS notes, CASE WHEN notes IS NULL AND mended AND hours IS NOT NULL THEN 1 WHEN k % 2 = 0 AND (notes IS NOT NULL AND hours IS NOT NULL) THEN 0 ELSE 1 END::BIGINT AS batch FROM m""")
+def evolution_batch(spark, sf):
+    """Two appends to a log, each taken in by a run of its own: records with even numbers; then the others, mended notes of a third, and a tenth once more with other notes, which is passed over if it was added."""
+    path = groups.work_path(spark, "evolution")
+    r = records(spark, sf).select("k", "incident_id", F.nullif("resolution_notes", F.lit("")).alias("notes"), F.col("resolution_hours").alias("hours"))
+    even, lost = F.col("k") % 2 == 0, F.col("notes").isNull() & (F.col("k") % 3 == 0)
+    first, rest = r.filter(even).withColumn("seq", F.lit(1)), r.filter(~even).withColumn("seq", F.lit(1))
+    mended = r.filter(lost).withColumns({"notes": F.lit(_RESET), "seq": F.lit(2)})
+    repeated = r.filter(even & (F.col("k") % 10 == 0) & F.col("notes").isNotNull() & F.col("hours").isNotNull()).withColumns({"notes": F.lit("Something else."), "seq": F.lit(3)})
+    checks = {"no resolution notes": F.length("notes") > 0, "not resolved": F.col("hours") >= 0}
+    run = evolution.Evolution(spark, f"{path}/kb", first.schema, "incident_id", "seq", checks)
+    for part in (first, rest.unionByName(mended).unionByName(repeated)):
+        part.write.mode("append").parquet(f"{path}/log")
+        run.run(f"{path}/log")
+    both = run.added().withColumns({"status": F.lit("added"), "reason": F.lit(None).cast("string")}).unionByName(run.failures().withColumn("status", F.lit("failed")), allowMissingColumns=True)
+    return both.select("incident_id", "status", "reason", "notes", F.col("batch").cast("long").alias("batch"))

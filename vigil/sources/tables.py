@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.sources import excel
+
 # Columns that mark an event log, and name fragments of free-text columns.
-EVENT_LOG_MARKERS = ("CI_Name", "CI_Subcat", "Incident_ID", "Open_Time", "Resolved_Time", "Closure_Code", "No_of_Reassignments")
-TEXT_FRAGMENTS = ("description", "details", "solution", "resolution", "notes", "text")
+EVENT_LOG_MARKERS = ("CI_Cat", "CI_Subcat", "Impact", "Urgency", "Priority", "Closure_Code", "Open_Time")
+TEXT_FRAGMENTS = ("description", "solution", "resolution", "details", "notes", "summary")
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -24,17 +26,27 @@ def text_columns(df: DataFrame) -> list[str]:
     return [c for c in names if (words[c] or 0) >= 2]
 
 
-def role_of(df: DataFrame) -> str:
-    """structured: an event log without text; text_rich: anything else."""
-    marked = sum(c in df.columns for c in EVENT_LOG_MARKERS)
-    return "structured" if marked >= 5 and not text_columns(df) else "text_rich"
+def role_of(df: DataFrame) -> str | None:
+    """structured: an event log (five marks or more) without text; text_rich: anything with text; else none."""
+    if text_columns(df):
+        return "text_rich"
+    return "structured" if sum(c in df.columns for c in EVENT_LOG_MARKERS) >= 5 else None
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file or, by its suffix, the first sheet of a workbook; all columns as strings."""
+    if path.lower().endswith(".xlsx"):
+        spark.dataSource.register(excel.Workbook)
+        return spark.read.format("workbook").load(path)
+    return read_raw_csv(spark, path)
 
 
 def detect(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     """Role -> path; of several files of a role the last by name. Missing roles are an error."""
-    found = {role_of(read_raw_csv(spark, p)): p for p in sorted(paths)}
+    found = {role_of(read_any(spark, p)): p for p in sorted(paths)}
     if missing := {"structured", "text_rich"} - found.keys():
         raise ValueError(f"no file for {sorted(missing)}")
+    found.pop(None, None)
     return found
 
 
