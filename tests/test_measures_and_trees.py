@@ -50,13 +50,30 @@ def test_classifier_measures_without_rows_or_classes(spark):
 def test_running_sums_over_ranges(spark):
     rng = random.Random(1)
     rows = [(k, rng.randrange(9)) for k in rng.sample(range(10**6), 3000)]
-    got = measures.running(spark.createDataFrame(rows, "k long, n long"), "k", ["n"], 16)
+    got = measures.running(spark.createDataFrame(rows, "k long, n long"), "k", ["n"], ranges=16)
     want, total = {}, 0
     for k, n in sorted(rows):
         want[k], total = total, total + n
     assert {r["k"]: r["n_before"] for r in got.collect()} == want
 
 
+def test_running_sums_and_percentiles_by_group(spark):
+    rng = random.Random(2)
+    rows = [(g, float(rng.randrange(40))) for g, n in (("hot", 900), ("b", 30), (None, 5), ("one", 1)) for _ in range(n)] + [("b", None), ("nothing", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    counted = df.filter("v IS NOT NULL").groupBy("g", "v").agg(F.count("*").alias("n"))
+    for r in measures.running(counted, "v", ["n"], ["g"], 8).collect():
+        same = [v for g, v in rows if g == r["g"] and v is not None]
+        assert (r["n_before"], r["n_all"]) == (sum(v < r["v"] for v in same), len(same))
+    got = {r["g"]: tuple(r)[1:] for r in measures.percentiles(df, F.col("v"), {"low": 0.05, "mid": 0.5, "top": 1.0}, ["g"]).collect()}
+    assert set(got) == {"hot", "b", None, "one"}
+    for g, found in got.items():
+        assert np.allclose(found, np.quantile([v for h, v in rows if h == g and v is not None], [0.05, 0.5, 1.0]))
+    whole = measures.percentiles(df, F.col("v"), {"mid": 0.5}).collect()
+    assert len(whole) == 1 and math.isclose(whole[0]["mid"], np.median([v for _, v in rows if v is not None]))
+    assert measures.percentiles(df.filter("false"), F.col("v"), {"mid": 0.5}).count() == 0
+
+
 def test_stratified_takes_the_floor_of_each_stratum(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 10 == 1, None).otherwise("b").alias("s"))
     got = measures.stratified(df, ["s"], (F.col("id") + 0.5) / 1000, 0.8)

@@ -61,7 +61,7 @@ def sampled_pairs(df: DataFrame, key: str, cluster: str, truth: str, pairs: int,
     Each draw picks two positions by a hash; positions are running counts over ranges of the key (a number, not null) and join back, so nothing is gathered. Draws of one row with itself don't count.
     """
     numbered = df.select(F.col(key).alias("i"), F.col(cluster).alias("c"), F.col(truth).alias("t"), F.lit(1).alias("pos"))
-    rows = running(numbered, "i", ["pos"]).drop("pos").withColumnRenamed("pos_before", "pos")
+    rows = running(numbered, "i", ["pos"]).drop("pos", "pos_all").withColumnRenamed("pos_before", "pos")
     n = df.agg(F.count("*").alias("n"))
     at = lambda side: F.floor(uniform(F.col("d"), F.lit(side), salt=salt) * F.col("n"))
     draws = df.sparkSession.range(pairs).withColumnRenamed("id", "d").join(F.broadcast(n)).select("d", at("a").alias("a"), at("b").alias("b")).filter("a <> b")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.clean import UNKNOWN, days_between
 from vigil.functions.math import wilson
+from vigil.operators.measures import percentiles
 
 OUTCOMES_NEEDED, REPEAT_DAYS, HOTSPOT_DAYS = 20, 30, 14
 
@@ -62,8 +65,10 @@ def outcomes(rows: DataFrame, keys: list[str], missing_as_zero: bool = False) ->
     moved = F.coalesce("reassignments", F.lit(0)) if missing_as_zero else F.col("reassignments")
     g = rows.groupBy(*keys).agg(
         F.count_if(known).alias("n_with_outcome"), F.count_if(known & F.col("reopened")).alias("k"),
-        F.median(F.when(known, F.col("resolution_hours"))).alias("h"), F.avg(F.when(known, moved.cast("double"))).alias("m"),
+        F.avg(F.when(known, moved.cast("double"))).alias("m"),
     )
+    middle = percentiles(rows.filter(known), F.col("resolution_hours"), {"h": 0.5}, keys).withColumnsRenamed({k: f"__{k}" for k in keys})
+    g = g.join(middle, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left")
     enough = F.col("n_with_outcome") >= OUTCOMES_NEEDED
     low, high = wilson(F.col("k"), F.col("n_with_outcome"))
     shown = {"reopen_rate": F.col("k") / F.col("n_with_outcome"), "reopen_low": low, "reopen_high": high, "mean_reassignments": F.col("m"), "median_hours": F.col("h")}
@@ -78,7 +83,7 @@ def recurrence(rows: DataFrame, family: str, item: str, time: str, key: str) ->
     """
     timed = rows.filter(F.col(time).isNotNull())
     gaps = timed.select(family, days_between(F.lag(time).over(Window.partitionBy(family).orderBy(time, key)), F.col(time)).alias("gap"))
-    gap = gaps.groupBy(family).agg(F.round(F.median("gap"), 2).alias("median_days_between"))
+    gap = percentiles(gaps, F.col("gap"), {"gap": 0.5}, [family]).select(family, F.round("gap", 2).alias("median_days_between"))
     base = rows.groupBy(family).agg(F.count("*").alias("members"), F.count(time).alias("timed"), F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), F.round(F.avg(F.when(F.col(time).isNotNull(), F.col("reopened").cast("double"))), 4).alias("reopen_rate"))
     months = timed.groupBy(family, F.date_format(time, "yyyy-MM").alias("month")).agg(F.count("*").alias("n")).groupBy(family).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("month", "n")))).alias("monthly"))
     near = timed.select(family, item, days_between(F.lag(time).over(Window.partitionBy(family, item).orderBy(time, key)), F.col(time)).alias("gap"))

@@ -13,25 +13,50 @@ from vigil.functions.math import pinball
 RANGES = 256
 
 
-def running(df: DataFrame, key: str, sums: list[str], ranges: int = RANGES) -> DataFrame:
-    """df with <column>_before: the sums of whole-number columns over all rows with a smaller key. Keys are numbers or times and distinct; null keys go.
+def running(df: DataFrame, key: str, sums: list[str], groups: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+    """df with <column>_before and <column>_all: the sums of whole-number columns over the rows of its group with a smaller key, and over all rows of the group.
 
-    Keys are cut into ranges at approximate quantiles (at most `ranges` numbers pass the driver; any cuts give the same sums). A window runs within each range,
-    and one over the totals of the ranges, so no task holds more than a range's keys.
+    Keys are numbers and distinct within a group; null keys go. Keys are cut into ranges at approximate quantiles of all rows (at most `ranges` numbers pass the
+    driver; any cuts give the same sums). A window runs within each group and range, and one over the totals of a group's ranges, so no task holds a large group.
     """
+    names = groups or []
     at = F.col(key).cast("double")
     rows = df.filter(F.col(key).isNotNull())
     cuts = rows.agg(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
     edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
     rows = rows.withColumn("__range", F.size(F.filter(edges, lambda e: e < at)))
-    order = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("__range").agg(*[F.sum(c).alias(c) for c in sums])  # one row per range
-    carried = totals.select("__range", *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"__{i}") for i, c in enumerate(sums)])
-    within = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(F.broadcast(carried), "__range")
+    keys = {f"__g{i}": F.col(c) for i, c in enumerate(names)} | {"__r": F.col("__range")}
+    totals = rows.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(*[F.sum(c).alias(f"__s{i}") for i, c in enumerate(sums)])  # at most `ranges` rows of a group
+    group = Window.partitionBy(*[n for n in keys if n != "__r"])
+    ahead = group.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, *[x for i in range(len(sums)) for x in (F.coalesce(F.sum(f"__s{i}").over(ahead), F.lit(0)).alias(f"__b{i}"), F.sum(f"__s{i}").over(group).alias(f"__a{i}"))])
+    same = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(n)) for n, c in keys.items()])
+    out = rows.join(carried if names else F.broadcast(carried), same)  # without groups at most `ranges` rows
+    within = Window.partitionBy(*keys).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     for i, c in enumerate(sums):
-        out = out.withColumn(f"{c}_before", F.col(f"__{i}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
-    return out.drop("__range", *[f"__{i}" for i in range(len(sums))])
+        out = out.withColumns({f"{c}_before": F.col(f"__b{i}") + F.coalesce(F.sum(c).over(within), F.lit(0)), f"{c}_all": F.col(f"__a{i}")})
+    return out.drop("__range", *keys, *[f"__{x}{i}" for i in range(len(sums)) for x in "ba"])
+
+
+def percentiles(df: DataFrame, value: Column, shares: dict[str, float], groups: list[str] | None = None) -> DataFrame:
+    """One row per group (one in all without groups, none without values) with exact percentiles, between two ranks by linear interpolation; nulls don't count.
+
+    Values are counted first and ranked by running counts, so neither a group of a third of all rows nor the whole table is held in one buffer.
+    """
+    names = groups or []
+    per = df.select(*names, value.cast("double").alias("__v")).filter("__v IS NOT NULL").groupBy(*names, "__v").agg(F.count("*").alias("__n"))
+    ranked = running(per, "__v", ["__n"], names)
+    found = {}
+    for i, share in enumerate(shares.values()):
+        place = (F.col("__n_all") - 1) * share
+        for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+            found[f"__{side}{i}"] = F.max(F.when((F.col("__n_before") <= rank) & (rank < F.col("__n_before") + F.col("__n")), F.col("__v")))
+    picked = ranked.groupBy(*names, F.col("__n_all").alias("__all")).agg(*[c.alias(n) for n, c in found.items()])
+    out = []
+    for i, (name, share) in enumerate(shares.items()):
+        low, high, place = F.col(f"__low{i}"), F.col(f"__high{i}"), (F.col("__all") - 1) * share
+        out.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high).alias(name))
+    return picked.select(*names, *out)
 
 
 def classifier(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -44,14 +69,13 @@ def classifier(df: DataFrame, score: str, label: str) -> DataFrame:
     y = F.col(label).cast("long")
     rows = df.filter(F.col(score).isNotNull() & y.isNotNull() & ~F.isnan(F.col(score).cast("double")))
     per = rows.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("m"))
-    whole = per.agg(F.sum("p").alias("all_p"), F.sum("m").alias("all_m"))
-    p, m, P, M = (F.col(c) for c in ("p", "m", "all_p", "all_m"))
-    r = running(per, "s", ["p", "m"]).join(F.broadcast(whole))  # one row
+    p, m, P, M = (F.col(c) for c in ("p", "m", "p_all", "m_all"))
+    r = running(per, "s", ["p", "m"])
     above_p, above_m = P - F.col("p_before") - p, M - F.col("m_before") - m
     cut = F.greatest(F.lit(1), F.floor((P + M) / 10))
     room = F.greatest(F.lit(0), F.least(p + m, cut - above_p - above_m))
     sums = r.agg(
-        F.first("all_p").alias("all_p"), F.first("all_m").alias("all_m"), F.first(cut).alias("cut"), F.sum(p * (F.col("m_before") + m / 2)).alias("area"),
+        F.first("p_all").alias("p_all"), F.first("m_all").alias("m_all"), F.first(cut).alias("cut"), F.sum(p * (F.col("m_before") + m / 2)).alias("area"),
         F.sum(p * (above_p + p) / (above_p + p + above_m + m)).alias("precision"), F.sum(p * F.pow(1 - F.col("s"), 2) + m * F.pow(F.col("s"), 2)).alias("square"), F.sum(p * room / (p + m)).alias("top"),
     )
     n, both = P + M, (P > 0) & (M > 0)

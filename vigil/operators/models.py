@@ -10,7 +10,7 @@ from pyspark.ml.feature import CountVectorizer, IDF, NGram, Normalizer, RegexTok
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators import trees
+from vigil.operators import measures, trees
 
 #: What is known of a case when it is opened.
 OPEN_CATEGORIES = ["ci_group", "ci_subcategory", "impact", "urgency", "priority"]
@@ -42,10 +42,12 @@ def reopen_classifier(df: DataFrame, categories: list[str], numbers: list[str],
 
 def duration_quantiles(df: DataFrame, group: str, hours: str, least: int = 20) -> DataFrame:
     """Quartiles of log1p hours per group, backing off to all rows where a group is small. Stands in for boosted quantile regression, which Spark ML lacks."""
-    q = F.percentile(F.log1p(F.greatest(F.col(hours), F.lit(0.0))), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    per, whole = df.groupBy(group).agg(q.alias("q"), F.count(hours).alias("n")), df.agg(q.alias("all"))
-    chosen = F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("all"))
-    return per.join(F.broadcast(whole)).select(group, *[F.expm1(chosen[i]).alias(n) for i, n in enumerate(("low", "median", "high"))])
+    shares, log = {"low": 0.25, "median": 0.5, "high": 0.75}, F.log1p(F.greatest(F.col(hours), F.lit(0.0)))
+    per = measures.percentiles(df, log, shares, [group])
+    sizes = df.groupBy(F.col(group).alias("__group")).agg(F.count(hours).alias("__n"))
+    whole = measures.percentiles(df, log, {f"__{n}": s for n, s in shares.items()})  # one row, or none without any hours
+    rows = sizes.join(per, F.col("__group").eqNullSafe(F.col(group)), "left").drop(group).withColumnRenamed("__group", group).join(F.broadcast(whole), how="left")
+    return rows.select(group, *[F.expm1(F.when(F.col("__n") >= least, F.col(n)).otherwise(F.col(f"__{n}"))).alias(n) for n in shares])
 
 
 def platt(df: DataFrame, score: str, label: str) -> tuple[float, float]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions import text
 from vigil.functions.math import dcg, dot, precision_at, reciprocal_rank
-from vigil.operators import groups, retrieval, timeline
+from vigil.operators import groups, measures, retrieval, timeline
 from vigil.plans.catalog import query
 from vigil.session import table
 
@@ -119,7 +119,8 @@ def transitions_lift(spark, sf):
 @query("gap_stats", "SELECT event_type, count(*) AS n, count(g) FILTER (g <= 30) AS repeats, round(median(g), 6) AS median_gap FROM (SELECT event_type, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type, user_id ORDER BY ts)) / 8.64e10 AS g FROM events) GROUP BY event_type")
 def gap_stats(spark, sf):
     g = timeline.gaps(table(spark, sf, "events"), ["event_type", "user_id"], "ts")
-    return g.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("gap_days") <= 30).alias("repeats"), F.round(F.median("gap_days"), 6).alias("median_gap"))
+    p = measures.percentiles(g, F.col("gap_days"), {"median_gap": 0.5}, ["event_type"]).withColumn("median_gap", F.round("median_gap", 6))
+    return g.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("gap_days") <= 30).alias("repeats")).join(p, "event_type", "left")
 
 
 @query("monthly_counts", "SELECT event_type, strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY event_type, month")

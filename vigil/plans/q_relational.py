@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.clean import hours_between
 from vigil.functions.math import wilson
+from vigil.operators import measures, quality
 from vigil.plans.catalog import query
 from vigil.session import table
 
@@ -103,19 +104,22 @@ def wilson_outcomes(spark, sf):
 @query("median_baseline", "SELECT o_orderkey, coalesce(g.m, (SELECT median(o_totalprice) FROM orders)) AS baseline FROM orders LEFT JOIN (SELECT o_custkey, median(o_totalprice) AS m FROM orders GROUP BY o_custkey HAVING count(*) >= 5) g USING (o_custkey)")
 def median_baseline(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    g = o.groupBy("o_custkey").agg(F.median("o_totalprice").alias("m"), F.count("*").alias("n")).filter("n >= 5").drop("n")
-    whole = o.agg(F.median("o_totalprice").alias("w"))
+    often = o.groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n >= 5")
+    g = measures.percentiles(o.join(often, "o_custkey", "left_semi"), F.col("o_totalprice"), {"m": 0.5}, ["o_custkey"])
+    whole = measures.percentiles(o, F.col("o_totalprice"), {"w": 0.5})
     return o.join(g, "o_custkey", "left").join(F.broadcast(whole)).select("o_orderkey", F.coalesce("m", "w").alias("baseline"))
 
 
 @query("latency_summary", "SELECT event_type, count(*) AS n, avg(value) AS mean, median(value) AS median, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def latency_summary(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.percentile("value", 0.95).alias("p95"))
+    e = table(spark, sf, "events").select("event_type", "value")
+    p = measures.percentiles(e, F.col("value"), {"median": 0.5, "p95": 0.95}, ["event_type"])
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).join(p, "event_type", "left")
 
 
 @query("low_fence", "SELECT quantile_cont(value, 0.05) AS fence FROM events")
 def low_fence(spark, sf):
-    return table(spark, sf, "events").agg(F.percentile("value", 0.05).alias("fence"))
+    return quality.low_fence(table(spark, sf, "events").select("value"), "value", 0.05)
 
 
 @query("confidence_bins", "SELECT CASE WHEN l_tax * 12.5 <= 0.25 THEN 1 WHEN l_tax * 12.5 <= 0.5 THEN 2 WHEN l_tax * 12.5 <= 0.75 THEN 3 ELSE 4 END AS bin, count(*) AS n, avg((l_returnflag = 'R')::INT) AS accuracy FROM lineitem GROUP BY bin")
