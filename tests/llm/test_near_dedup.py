@@ -102,6 +102,50 @@ def test_unlinked_texts_of_a_bucket_are_not_compared_by_text(spark, monkeypatch)
     assert op.classes(df).select("class_id").distinct().count() == 300 and sum(compared) < 0.05 * 300 * 299 / 2
 
 
+def test_loose_groups_are_not_compared_by_text(spark, monkeypatch):
+    """60 copies with an edit or none, 200 with four or five: those are at 0.7 to 0.8 to the others, too close for register sketches to tell from links."""
+    compared = []
+    links = op._links
+    monkeypatch.setattr(op, "_links", lambda pairs, *a: compared.append(pairs.count()) or links(pairs, *a))
+    rng = random.Random(5)
+    texts = []
+    for k in range(260):
+        words = [f"w{i}" for i in range(150)]
+        for i in rng.sample(range(150), rng.choice([0, 1]) if k < 60 else rng.choice([4, 5])):
+            words[i] = f"x{k}y{i}"
+        texts.append(" ".join(words))
+    got, _ = classes_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    root = brute_classes(texts)
+    assert got == dict(enumerate(root)) and len(set(root)) > 50
+    assert sum(compared) < 3_000, compared
+
+
+def test_parities_bound_similarity(spark):
+    """No pair at or above the threshold is refused, few below it are let through, whatever the copies and the numbers of slots."""
+    rng, bags = np.random.default_rng(6), []
+    for k in range(60):
+        n = int(rng.choice([3, 9, 100, 127, 129, 250]))
+        keys, counts = np.sort(rng.integers(0, 2**63, n).astype(np.uint64)), rng.integers(1, 4, n)
+        bags.append((keys, counts))
+        for _ in range(4):
+            other, c = keys.copy(), counts.copy()
+            at = rng.random(n) < rng.choice([0.02, 0.1, 0.2])
+            other[at] = rng.integers(0, 2**63, int(at.sum())).astype(np.uint64)
+            c[rng.random(n) < 0.05] += 1
+            order = np.argsort(other)
+            bags.append((other[order], c[order]))
+    # One shingle more or less than a threshold exactly met.
+    exact = np.sort(rng.integers(0, 2**63, 50).astype(np.uint64))
+    bags += [(exact[:n], np.ones(n, np.int64)) for n in (4, 5, 39, 40, 50)]
+    planes = {f"s{k}": 0 for k in range(2 * op.BITS)}
+    rows = [(i, int(c.sum()), *planes.values(), op.parities(h, c).tolist()) for i, (h, c) in enumerate(bags)]
+    df = spark.createDataFrame(rows, f"i int, size long, {', '.join(f'{p} long' for p in planes)}, odd array<long>")
+    passed = {(r.i, r.j) for r in df.alias("x").join(df.alias("y"), op._close("x", "y", 0.8)).selectExpr("x.i AS i", "y.i AS j").collect()}
+    true = {(i, j) for i, a in enumerate(bags) for j, b in enumerate(bags) if op.similarity(a, b) >= 0.8}
+    assert true <= passed and len(true) > 400 and len(passed - true) < 0.2 * len(true)
+    assert {(305 - 5 + i, 305 - 5 + j) for i, j in ((0, 1), (3, 4))} <= true
+
+
 def test_recall_of_bands_and_sketches():
     """At similarity 0.8 to 0.9, pairs that meet in a band and pass the sketch, over all pairs."""
     rng = np.random.default_rng(2)

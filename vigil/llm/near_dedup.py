@@ -8,9 +8,11 @@ process stops once its time is past the text's latest register, so most shingles
 agree in a register with probability equal to their weighted Jaccard similarity.
 
 Registers are banded, 21 bands of 6: a pair of similarity 0.8 shares a bucket with probability 0.998, one of 0.85 with
-0.9999. Pairs that share a bucket are candidates if their bag sizes and their register sketches (four bits of each register,
-so 0.998 of pairs at similarity 0.8 pass, half of those at 0.69, and below 0.6 hardly any) allow the threshold; both are conditions of
-the join, so other pairs of a bucket are never rows. In a first round a bucket's texts are paired with one of them only, its
+0.9999. Pairs that share a bucket are candidates if their bag sizes, their register sketches (four bits of each register; all but
+a millionth of the pairs at similarity 0.8 pass) and their parity sketches allow the threshold; all are conditions of the join, so other
+pairs of a bucket are never rows. A parity sketch has, for each of four to eight times as many slots as the bag has shingles, whether an odd number of
+shingles fell on it: two differ in at most as many slots as there are shingles in one bag only, so no link is lost by it,
+and few pairs below the threshold pass. In a first round a bucket's texts are paired with one of them only, its
 leader by a random rank that differs from bucket to bucket, so each text of a group meets up to 21 others; links are verified on the
 whole bags. Where a bucket then holds several components, the texts outside the most frequent one meet another leader of that one, twice;
 then those that are still outside are paired with all of the bucket's texts in other components. So a group of n texts of which a fair part are links
@@ -41,10 +43,12 @@ from vigil.llm.shared import Work, chosen, identified
 
 SHINGLE, SIMILARITY, REGISTERS, BANDS = 5, 0.8, 126, 21
 #: Registers in which two sketches may differ. At similarity s a sketch differs in a register with probability 15/16 (1 - s): at 0.8 in 23.6, standard deviation 4.4.
-BITS, DIFFERENT = 4, 37
+BITS, DIFFERENT = 4, 45
 #: Rounds after the first: in all but the last a bucket's unlinked texts meet one further leader of its most frequent component.
 LEADERS = 3
 PLANES = tuple(f"s{k}" for k in range(2 * BITS))
+#: Slots of a parity sketch: the power of two from SLOTS times the bag's size. Beyond the maximum fewer pairs are told apart, and still none is lost.
+SLOTS, MOST_SLOTS = 4, 1 << 16
 #: Words whose hashes a task remembers, and texts whose registers are filled at a time.
 MEMO_WORDS, BATCH = 100_000, 512
 
@@ -115,6 +119,16 @@ def sketches(registers: np.ndarray) -> np.ndarray:
     return np.packbits(wide.reshape(len(bits), -1), axis=1).view(np.int64)
 
 
+def parities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A bag's parity sketch, 64 slots to an integer. The copies of a shingle are told apart, so sketches bound weighted similarity."""
+    n = int(counts.sum())
+    slots = min(MOST_SLOTS, max(64, 1 << (SLOTS * n - 1).bit_length()))
+    copy = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = mix(np.repeat(hashes, counts) + copy.astype(np.uint64) * GOLD) & np.uint64(slots - 1)
+    odd = (np.bincount(at.astype(np.int64), minlength=slots) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH):
@@ -129,6 +143,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns["size"] = pa.array([int(c.sum()) for _, c in bags], pa.int64())
             columns["bands"] = pa.array([h if len(b[0]) else [] for h, b in zip(hashes, bags)], pa.list_(pa.int64()))
             columns |= {f"s{k}": pa.array(x, pa.int64()) for k, x in enumerate(sketches(registers).T)}
+            columns["odd"] = pa.array([parities(*b) for b in bags], pa.list_(pa.int64()))
             columns["packed"] = pa.array(map(squeeze, raw), pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -163,7 +178,7 @@ def _links(pairs: DataFrame, table: DataFrame, threshold: float, work: Work) ->
 
 
 def _close(x: str, y: str, threshold: float) -> Column:
-    """Whether sizes and sketches allow the threshold."""
+    """Whether sizes, sketches and parities allow the threshold."""
     def apart(half: int) -> Column:
         out = None
         for k in range(half, 2 * BITS, 2):
@@ -171,8 +186,17 @@ def _close(x: str, y: str, threshold: float) -> Column:
             out = other if out is None else out.bitwiseOR(other)
         return F.bit_count(out)
 
+    def folded(one: str, other: str) -> Column:
+        """Parities of one in as many slots as the other's, if it has twice as many."""
+        a, n = F.col(f"{one}.odd"), F.size(f"{other}.odd")
+        return F.when(F.size(a) == 2 * n, F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(a)
+
+    # Similarity s of bags of m and n shingles means (m + n) (1 - s) / (1 + s) shingles in one of them only.
+    only = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+    allowed = (F.col(f"{x}.size") + F.col(f"{y}.size")) * ((1 - threshold) * (1 + 1e-9))
+    alike = F.coalesce(only * (1 + threshold) <= allowed, F.lit(True))  # null: other numbers of slots
     fits = F.least(f"{x}.size", f"{y}.size") >= F.greatest(f"{x}.size", f"{y}.size") * threshold
-    return fits & (apart(0) + apart(1) <= DIFFERENT)
+    return fits & (apart(0) + apart(1) <= DIFFERENT) & alike
 
 
 def _linked(label: DataFrame, pairs: DataFrame, table: DataFrame, threshold: float, work: Work) -> DataFrame:
@@ -184,11 +208,11 @@ def _linked(label: DataFrame, pairs: DataFrame, table: DataFrame, threshold: flo
 
 
 def _classes(table: DataFrame, threshold: float, work: Work) -> DataFrame:
-    """table: n, row, key, digest, size, bands, PLANES, packed. One row per row of it: row, key, class_id, class_size, n_copies, kept."""
+    """table: n, row, key, digest, size, bands, PLANES, odd, packed. One row per row of it: row, key, class_id, class_size, n_copies, kept."""
     first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("n").alias("n")))
-    some = [F.any_value(c).alias(c) for c in ("bands", "size", *PLANES)]
+    some = [F.any_value(c).alias(c) for c in ("bands", "size", *PLANES, "odd")]
     texts = work.write(table.groupBy("digest").agg(F.min("n").alias("rep"), first.alias("first"), F.count("*").alias("copies"), *some), "texts")
-    sketch = texts.select("rep", "size", *PLANES)
+    sketch = texts.select("rep", "size", *PLANES, "odd")
     banded = texts.select("rep", F.explode("bands").alias("h"))
     rank = F.struct(F.xxhash64("rep", "h").alias("rank"), F.col("rep").alias("lead"))
     lead = banded.groupBy("h").agg(F.min(rank).alias("least"), F.count("*").alias("n")).filter("n > 1").select("h", F.col("least.lead").alias("lead"))
@@ -205,10 +229,10 @@ def _classes(table: DataFrame, threshold: float, work: Work) -> DataFrame:
         known = work.write(members.select("h", "rep").join(label, "rep"), "known")
         shares = known.groupBy("h", "label").agg(F.count("*").alias("n"))
         main = shares.groupBy("h").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("h", F.col("most.label").alias("main"))
-        mixed = work.write(known.join(main, "h").join(texts.select("rep", "size", "bands", *PLANES), "rep"), "mixed")
+        mixed = work.write(known.join(main, "h").join(texts.select("rep", "size", "bands", *PLANES, "odd"), "rep"), "mixed")
         x = mixed.filter("label <> main").alias("x")
         if turn < LEADERS - 1:
-            least = F.min(F.struct(F.xxhash64("rep", "h", F.lit(turn)).alias("rank"), "rep", "label", "size", *PLANES))
+            least = F.min(F.struct(F.xxhash64("rep", "h", F.lit(turn)).alias("rank"), "rep", "label", "size", *PLANES, "odd"))
             y = mixed.filter("label = main").groupBy("h").agg(least.alias("y")).select("h", "y.*").alias("y")
             more = x.join(y, (F.col("x.h") == F.col("y.h")) & _close("x", "y", threshold))
         else:
@@ -236,7 +260,7 @@ def _search(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame
     work = Work(rows.sparkSession, "near")
     planes = ", ".join(f"{p} long" for p in PLANES)
     table = rows.select(F.monotonically_increasing_id().alias("n"), "row", F.col(f"doc.`{key}`").cast("long").alias("key"), F.col(f"doc.`{text}`").cast("string").alias("text"))
-    schema = f"n long, row struct<file: long, at: long>, key long, digest binary, size long, bands array<long>, {planes}, packed binary"
+    schema = f"n long, row struct<file: long, at: long>, key long, digest binary, size long, bands array<long>, {planes}, odd array<long>, packed binary"
     return _classes(work.write(table.mapInArrow(_sketch, schema), "table"), threshold, work)
 
 
