@@ -42,6 +42,32 @@ def test_trie_finds_each_pair_and_no_other():
     assert empty.lookup(gv, gw)[0].sum() == 0
 
 
+def test_lookups_cost_a_few_selects_a_pair(monkeypatch):
+    """Equal contexts in a row are looked up once, and the answers are those of a dictionary."""
+    asked, select = [], EliasFano._select
+    monkeypatch.setattr(EliasFano, "_select", lambda self, k, *a: asked.append(len(k)) or select(self, k, *a))
+    rng = np.random.default_rng(9)
+    for top in (5_000, 1 << 40):  # the latter don't fit one sort of 64 bits
+        pairs = np.unique(np.stack([rng.integers(0, 40, 8000), rng.integers(0, top, 8000)]), axis=1).astype(np.uint64)
+        trie = BigramTrie.mapped(op.train(pairs[0][::-1], pairs[1][::-1], 1 + np.arange(pairs.shape[1])))
+        asked.clear()
+        p, b = trie.lookup(pairs[0], pairs[1])
+        assert (p > 0).all() and (b > 0).all() and sum(asked) < 3 * len(p)
+        mixed = rng.permutation(pairs.shape[1])
+        assert (trie.lookup(pairs[0][mixed], pairs[1][mixed])[0] == p[mixed]).all()
+        assert not trie.lookup(pairs[0] + np.uint64(50), pairs[1])[1].any()
+
+
+def test_select_in_words_of_any_bits():
+    rng = np.random.default_rng(10)
+    for share in (0.02, 0.5, 0.98):
+        bits = np.r_[rng.random(64 * 50) < share, np.ones(64, bool), np.zeros(64, bool)]
+        ef = EliasFano(np.zeros(2, np.int64), None, np.packbits(bits, bitorder="little"), None)
+        for flags, ones in ((bits, True), (~bits, False)):
+            before = np.r_[0, np.cumsum(flags.reshape(-1, 64).sum(axis=1))]
+            assert (ef._select(np.arange(flags.sum()), before, ones) == np.flatnonzero(flags)).all()
+
+
 def brute(docs):
     """docs: (key, text); both scores by dictionaries, without codes."""
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in docs]

@@ -7,6 +7,11 @@ import tempfile
 import numpy as np
 
 _CHUNK = 1 << 16
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: Ones of each byte, and where its k-th one is; 8 where there is none.
+_ONES = _BITS.sum(axis=1, dtype=np.uint8)
+_PLACE = np.full((256, 64), 8, np.uint8)
+_PLACE[_BITS.nonzero()[0], (np.cumsum(_BITS, axis=1) - 1)[_BITS > 0]] = _BITS.nonzero()[1]
 
 
 class EliasFano:
@@ -43,9 +48,13 @@ class EliasFano:
         blocks = self.high.reshape(-1, 8)
         for a in range(0, len(k), _CHUNK):
             w = word[a : a + _CHUNK]
-            bits = np.unpackbits(blocks[w], axis=1, bitorder="little")
-            run = np.cumsum(bits if ones else 1 - bits, axis=1, dtype=np.uint8)
-            out[a : a + _CHUNK] = w * 64 + (run <= (k[a : a + _CHUNK] - before[w])[:, None]).sum(axis=1)
+            part = blocks[w] if ones else ~blocks[w]
+            left = (k[a : a + _CHUNK] - before[w]).astype(np.uint8)
+            run = np.cumsum(_ONES[part], axis=1, dtype=np.uint8)
+            at = np.minimum((run <= left[:, None]).sum(axis=1), 7)
+            row = np.arange(len(w))
+            here = part[row, at]
+            out[a : a + _CHUNK] = w * 64 + at * 8 + _PLACE[here, left - (run[row, at] - _ONES[here])]
         return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -127,14 +136,17 @@ class BigramTrie:
         none = np.zeros(len(context), np.uint16)
         if not len(self.backoff) or not len(context):
             return none, none.copy()
-        zero = np.zeros(len(context), np.int64)
-        c = self.contexts.find(context.astype(np.uint64), zero, zero + len(self.backoff))
-        known = np.flatnonzero(c >= 0)
-        at = c[known]
+        # Equal contexts in a row are looked up once.
+        start = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+        times = np.diff(np.r_[start, len(context)])
+        zero = np.zeros(len(start), np.int64)
+        c = self.contexts.find(context[start].astype(np.uint64), zero, zero + len(self.backoff))
+        at, each = c[c >= 0], times[c >= 0]
         begin, end = self.pointers.access(at).astype(np.int64), self.pointers.access(at + 1).astype(np.int64)
         base = np.where(begin > 0, self.successors.access(np.maximum(begin - 1, 0)), np.uint64(0))
-        found = self.successors.find(word[known].astype(np.uint64) + base, begin, end)
+        known = np.flatnonzero(np.repeat(c >= 0, times))
+        found = self.successors.find(word[known].astype(np.uint64) + np.repeat(base, each), np.repeat(begin, each), np.repeat(end, each))
         p, b = none, none.copy()
         p[known] = np.where(found >= 0, self.probability[np.maximum(found, 0)], 0)
-        b[known] = self.backoff[at]
+        b[known] = np.repeat(self.backoff[at], each)
         return p, b

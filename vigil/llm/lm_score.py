@@ -164,7 +164,9 @@ def _bigrams(pack: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
     """A trie shard from bigrams with training counts; equal ones may repeat, and those never counted stay out."""
     v, w, c = v[c > 0], w[c > 0], c[c > 0]
-    order = np.lexsort((w, v))
+    wide = np.uint64(32)
+    narrow = not len(v) or max(int(v.max()), int(w.max())) >> 32 == 0
+    order = np.argsort(v << wide | w, kind="stable") if narrow else np.lexsort((w, v))  # one sort of runs that ascend, if both fit
     v, w, c = v[order], w[order], c[order]
     if len(v):
         first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
