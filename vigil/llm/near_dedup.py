@@ -9,7 +9,7 @@ agree in a register with probability equal to their weighted Jaccard similarity.
 
 Registers are banded, 21 bands of 6: a pair of similarity 0.8 shares a bucket with probability 0.998, one of 0.85 with
 0.9999. Pairs that share a bucket are candidates if their bag sizes, their register sketches (four bits of each register; all but
-a millionth of the pairs at similarity 0.8 pass) and their parity sketches allow the threshold; all are conditions of the join, so other
+two in a million of the pairs at similarity 0.8 pass) and their parity sketches allow the threshold; all are conditions of the join, so other
 pairs of a bucket are never rows. A parity sketch has, for each of four to eight times as many slots as the bag has shingles, whether an odd number of
 shingles fell on it: two differ in at most as many slots as there are shingles in one bag only, so no link is lost by it,
 and few pairs below the threshold pass. In a first round a bucket's texts are paired with one of them only, its
