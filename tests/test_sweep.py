@@ -47,3 +47,29 @@ def test_no_edges(spark):
     known = spark.createDataFrame([(1, 1), (2, None)], "id long, label int")
     got = op.sweep(known, spark.createDataFrame([], "a long, b long, score double"), [0.5], "id", "label").collect()
     assert [tuple(r) for r in got] == [(0.5, 2, 1, 0.0, 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("one", [0, 40, 10**6])
+def test_forests_of_blocks_connect_what_all_pairs_connect(spark, monkeypatch, one):
+    import numpy as np
+
+    from vigil.operators import groups
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6, 5))[rng.integers(0, 6, 70)] + 0.5 * rng.normal(size=(70, 5))
+    x[9] = x[3]  # equal vectors
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(groups, "BLOCK", 20)
+    monkeypatch.setattr(op, "ONE_TASK", one)
+    df = spark.createDataFrame([(i, [float(y) for y in v], i % 3) for i, v in enumerate(x)] + [(70, None, 1)], "vec_id long, embedding array<double>, label int")
+    pairs = groups.similar_pairs(df, 0.5)
+    every = [tuple(r) for r in pairs.collect()]
+    few = groups.similar_forest(df, 0.5).checkpoint()
+    assert few.count() < len(every) / 2
+    forest = [tuple(r) for r in op.spanning_forest(few).collect()]
+    got = op.components_by_threshold(df, few.sparkSession.createDataFrame(forest, "a long, b long, score double"), [0.5, 0.9], "vec_id").collect()
+    assert len(got) == 142
+    for t in (0.5, 0.9):
+        want = roots(range(71), every, t)
+        assert roots(range(71), forest, t) == want and {r.vec_id: r.root for r in got if r.threshold == t} == want
+    assert len(forest) == 71 - len(set(roots(range(71), every, 0.5).values()))
